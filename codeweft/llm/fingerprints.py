@@ -17,33 +17,44 @@ range before it too.
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codeweft.llm._common import SPACE, documents, id_key, text_of
 
-RUN, BINS, BITS = 5, 256, 4
-_LONG = "bigint"
+RUN, BINS, BITS = 5, 128, 4
+#: An entry is a bin (upper 32 bits) and a value (31 bits); a bin's last possible entry stands for an empty one.
+MASK, EMPTY = ((BINS - 1) << 32) | 0x7FFFFFFF, 0xFFFFFFFF
+#: Steps of a walk that are tried together; the last takes in every bin.
+STEPS = (4, 32, BINS)
+
+
+def _drawn(salt: int) -> list[int]:
+    """A seeded number for each bin."""
+    r = random.Random(salt)
+    return [r.randrange(1 << 16) for _ in range(BINS)]
 
 
-def _walk(steps: int) -> str:
-    """SQL: the bins that empty bin j visits, in order."""
-    return f"transform(sequence(1, {steps}), a -> pmod(xxhash64(j) + a * (2 * pmod(xxhash64(j, 1), {BINS // 2}) + 1), {BINS}))"
+def _first_filled(steps: int) -> str:
+    """SQL: the entry of the first filled bin among the first steps of bin j's walk, or null."""
+    start, stride = (f"array({', '.join(str(n % BINS) for n in _drawn(1))})[j]", f"array({', '.join(str(n % BINS | 1) for n in _drawn(2))})[j]")
+    return f"try_element_at(filter(transform(sequence(1, {steps}), a -> _s[({start} + a * {stride}) % {BINS}]), y -> (y & {EMPTY}L) <> {EMPTY}L), 1)"
 
 
 def fingerprint(df: DataFrame, text: Column, out: str) -> DataFrame:
     """df with column `out`: the fingerprint of text."""
-    words = F.array_remove(F.split(text, SPACE), "")
-    df = df.withColumn("_w", F.transform(words, lambda w: F.xxhash64(w)))
+    df = df.withColumn("_w", F.array_remove(F.split(text, SPACE), ""))
     ahead = ", ".join(f"_w[i + {k}]" for k in range(1, RUN))
-    df = df.withColumn("_s", F.expr(f"case when size(_w) = 0 then cast(array() as array<bigint>) when size(_w) < {RUN} then array(xxhash64(_w)) else transform(slice(_w, 1, size(_w) - {RUN - 1}), (x, i) -> xxhash64(x, {ahead})) end"))
-    # the bin in the upper 32 bits, the value in the lower: sorted, a bin's first entry is its least
-    df = df.withColumn("_s", F.expr(f"array_sort(transform(_s, h -> shiftleft(pmod(h, {BINS}), 32) + shiftrightunsigned(h, 33)))"))
+    runs = f"case when size(_w) < {RUN} then array(xxhash64(_w) & {MASK}L) else transform(slice(_w, 1, size(_w) - {RUN - 1}), (x, i) -> xxhash64(x, {ahead}) & {MASK}L) end"
+    none = f"array({', '.join(f'{(j << 32) | EMPTY}L' for j in range(BINS))})"
+    df = df.withColumn("_n", F.size("_w")).withColumn("_s", F.expr(f"array_sort(concat({runs}, {none}))"))
+    # sorted, a bin's first entry is its least
     df = df.withColumn("_s", F.expr("filter(_s, (x, i) -> i = 0 or shiftright(x, 32) <> shiftright(_s[i - 1], 32))"))
-    df = df.withColumn("_m", F.expr("map_from_arrays(transform(_s, x -> cast(shiftright(x, 32) as int)), transform(_s, x -> cast(x & 15 as int)))"))
-    df = df.withColumn("_d", F.expr(f"transform(sequence(0, {BINS - 1}), j -> _m[j])"))
-    filled = f"transform(_d, (x, j) -> coalesce(x, element_at(filter(transform({_walk(BINS)}, b -> _d[cast(b as int)]), y -> y is not null), 1)))"
-    return df.withColumn(out, F.expr(f"case when size(_s) = 0 then '' else lower(array_join(transform({filled}, v -> hex(v)), '')) end")).drop("_w", "_s", "_m", "_d")
+    filled = f"if((x & {EMPTY}L) <> {EMPTY}L, x, coalesce({', '.join(_first_filled(n) for n in STEPS)}))"
+    digits = f"transform(_s, (x, j) -> substring('0123456789abcdef', cast({filled} & 15 as int) + 1, 1))"
+    return df.withColumn(out, F.expr(f"case when _n = 0 then '' else array_join({digits}, '') end")).drop("_w", "_n", "_s")
 
 
 def likeness(a: str, b: str) -> Column:
