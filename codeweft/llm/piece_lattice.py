@@ -23,6 +23,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ from codeweft.llm._common import documents, text_of
 
 BLANK = "▁"
 #: Words, and pairs of pieces, that a worker keeps: the first it meets, as the frequent ones come early.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 800_000
 _WORD = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 
 
@@ -85,6 +86,7 @@ class Lattice:
         self.longest = max(map(len, self.id_of), default=1)
         self.pieces = pieces
         self.words: dict[str, tuple[int, ...]] = {}
+        self.parts = [bytes([int(p[3:5], 16)]) if kind == 6 else p.encode() if kind in (1, 4) else b"" for p, _, kind in pieces]
         self.pairs: dict[tuple[str, str], bool] = {}
 
     def merged(self, text: str) -> list[str]:
@@ -111,65 +113,61 @@ class Lattice:
             self.pairs[key] = same
         return self.pairs[key]
 
-    def edges(self, word: str) -> list[list[int]]:
-        """For each end of 1..n: the starts of pieces that end there, longest first; a single character always has an edge."""
-        id_of, n, longest = self.id_of, len(word), self.longest
-        return [[s for s in range(max(0, e - longest), e) if s == e - 1 or word[s:e] in id_of] for e in range(1, n + 1)]
-
-    def path(self, word: str) -> list[str]:
-        """The best path's pieces: the fold over ends."""
-        back = [0] * (len(word) + 1)
-        if self.bpe:
-            id_of, pairs, longest, last = self.id_of, self.pairs, self.longest, [""]
-            for e in range(1, len(word) + 1):
+    def paths(self, words: list[str]) -> Iterator[list[str]]:
+        """The best path's pieces of each word: the fold over its ends. What it finds for a prefix holds for
+        every word that begins so; sorted words share most of their prefixes with the word before."""
+        id_of, score, pairs, longest = self.id_of, self.score, self.pairs, self.longest
+        floor = min(score, default=0.0) - 10.0
+        back, last, best, before = [0], [""], [0.0], ""
+        for word in words:
+            n = min(len(word), len(before))
+            same = next((k for k in range(n) if word[k] != before[k]), n)
+            del back[same + 1 :], last[same + 1 :], best[same + 1 :]
+            for e in range(same + 1, len(word) + 1):
+                top, found = None, e - 1
                 for s in range(e - longest if e > longest else 0, e):
                     piece = word[s:e]
-                    if piece in id_of or s == e - 1:
+                    if piece not in id_of and s < e - 1:
+                        continue
+                    if self.bpe:
                         apart = pairs.get((last[s], piece))
                         if apart or (apart is None and self.apart(last[s], piece)):
-                            back[e] = s
-                            last.append(piece)
+                            found = s
                             break
-        else:
-            best = [0.0] * (len(word) + 1)
-            floor = min(self.score, default=0.0) - 10.0
-            for e, starts in enumerate(self.edges(word), 1):
-                best[e], back[e] = max(((best[s] + (self.score[i] if (i := self.id_of.get(word[s:e])) is not None else floor), -s) for s in starts), default=(0.0, 0))
-                back[e] = -back[e]
-        out, e = [], len(word)
-        while e:
-            out.append(word[back[e] : e])
-            e = back[e]
-        return out[::-1]
-
-    def ids(self, word: str) -> tuple[int, ...]:
-        found = self.words.get(word)
-        if found is None:
-            out: list[int] = []
-            for p in self.path(word):
-                i = self.id_of.get(p)
-                out += [i] if i is not None else [self.bytes[b] for b in p.encode()] if self.bytes else [self.unknown]
-            found = tuple(out)
-            if len(self.words) < CACHE_WORDS:
-                self.words[word] = found
-        return found
+                    else:
+                        sum_ = best[s] + (score[id_of[piece]] if piece in id_of else floor)
+                        if top is None or sum_ > top:
+                            top, found = sum_, s
+                back.append(found)
+                last.append(word[found:e])
+                best.append(top or 0.0)
+            before, out, e = word, [], len(word)
+            while e:
+                out.append(word[back[e] : e])
+                e = back[e]
+            yield out[::-1]
+
+    def ids(self, path: list[str]) -> tuple[int, ...]:
+        out: list[int] = []
+        for p in path:
+            i = self.id_of.get(p)
+            out += [i] if i is not None else [self.bytes[b] for b in p.encode()] if self.bytes else [self.unknown]
+        return tuple(out)
+
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
+        """The ids of each text; each word that is new is folded once."""
+        split = [_WORD.findall((BLANK + t).replace(" ", BLANK)) if t else [] for t in texts]
+        fresh = sorted({w for words in split for w in set(words) if w not in self.words})
+        found = dict(zip(fresh, map(self.ids, self.paths(fresh)), strict=True))
+        self.words.update(islice(found.items(), max(0, CACHE_WORDS - len(self.words))))
+        of = self.words.__getitem__ if len(self.words) < CACHE_WORDS else lambda w: self.words.get(w) or found[w]
+        return [list(chain.from_iterable(map(of, words))) for words in split]
 
     def encode(self, text: str) -> list[int]:
-        if not text:
-            return []
-        words = _WORD.findall((BLANK + text).replace(" ", BLANK))
-        known, ids = self.words.get, self.ids
-        return [i for w in words for i in known(w) or ids(w)]
+        return self.encode_all([text])[0]
 
     def decode(self, ids: list[int]) -> str:
-        out = bytearray()
-        for i in ids:
-            p, _, kind = self.pieces[i]
-            if kind == 6:
-                out.append(int(p[3:5], 16))
-            elif kind in (1, 4):
-                out += p.encode()
-        text = out.decode("utf-8", "replace").replace(BLANK, " ")
+        text = b"".join(map(self.parts.__getitem__, ids)).decode("utf-8", "replace").replace(BLANK, " ")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -189,7 +187,7 @@ def _encode(model: bytes):
         own = _lattice(model)
         for batch in batches:
             for first, texts in text_runs(batch.column(1)):
-                ids = [own.encode(t) for t in texts]
+                ids = own.encode_all(texts)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(ids, pa.list_(pa.int32()))], ["row", "ids"])
 
     return run
@@ -211,8 +209,7 @@ def _digest(model: bytes):
         for batch in batches:
             for first, texts in text_runs(batch.column(1)):
                 n, crc, same = [], [], []
-                for t in texts:
-                    ids = own.encode(t)
+                for t, ids in zip(texts, own.encode_all(texts), strict=True):
                     n.append(len(ids))
                     crc.append(zlib.crc32(np.array(ids, dtype="<u4").tobytes()))
                     same.append(own.decode(ids) == t)
