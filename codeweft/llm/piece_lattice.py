@@ -34,8 +34,8 @@ from codeweft.llm._chunks import text_runs
 from codeweft.llm._common import documents, text_of
 
 BLANK = "▁"
-#: Words, and pairs of pieces, that a worker keeps: the first it meets, as the frequent ones come early.
-CACHE_WORDS = 800_000
+#: Words, and pairs of pieces, that a worker keeps (about 170 MB): the first it meets, as the frequent ones come early.
+CACHE_WORDS, CACHE_PAIRS = 500_000, 600_000
 _WORD = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 
 
@@ -87,7 +87,7 @@ class Lattice:
         self.pieces = pieces
         self.words: dict[str, tuple[int, ...]] = {}
         self.parts = [bytes([int(p[3:5], 16)]) if kind == 6 else p.encode() if kind in (1, 4) else b"" for p, _, kind in pieces]
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[int, bool] = {}
 
     def merged(self, text: str) -> list[str]:
         """The pieces that merging by score gives: best score first, leftmost of equals."""
@@ -103,43 +103,46 @@ class Lattice:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def apart(self, a: str, b: str) -> bool:
-        """Whether BPE keeps the neighbours a and b apart, and each of them whole. a is empty where b begins the word."""
-        key = (a, b)
-        if key not in self.pairs:
-            same = self.merged(a + b) == ([a, b] if a else [b])
-            if len(self.pairs) >= CACHE_WORDS:
-                return same
+    def apart(self, key: int, a: str, b: str) -> bool:
+        """Whether BPE keeps the neighbours a and b apart, and each of them whole. a is empty where b begins
+        the word; key stands for the two."""
+        same = self.merged(a + b) == ([a, b] if a else [b])
+        if len(self.pairs) < CACHE_PAIRS:
             self.pairs[key] = same
-        return self.pairs[key]
+        return same
 
     def paths(self, words: list[str]) -> Iterator[list[str]]:
         """The best path's pieces of each word: the fold over its ends. What it finds for a prefix holds for
         every word that begins so; sorted words share most of their prefixes with the word before."""
         id_of, score, pairs, longest = self.id_of, self.score, self.pairs, self.longest
         floor = min(score, default=0.0) - 10.0
-        back, last, best, before = [0], [""], [0.0], ""
+        other, back, last, ends, best, before = len(score), [0], [""], [0], [0.0], ""
         for word in words:
             n = min(len(word), len(before))
             same = next((k for k in range(n) if word[k] != before[k]), n)
-            del back[same + 1 :], last[same + 1 :], best[same + 1 :]
+            del back[same + 1 :], last[same + 1 :], ends[same + 1 :], best[same + 1 :]
             for e in range(same + 1, len(word) + 1):
-                top, found = None, e - 1
+                top, found, piece_id = None, e - 1, 0
                 for s in range(e - longest if e > longest else 0, e):
                     piece = word[s:e]
-                    if piece not in id_of and s < e - 1:
-                        continue
+                    i = id_of.get(piece)
+                    if i is None:
+                        if s < e - 1:
+                            continue
+                        i = other + ord(piece)  # a character without a piece
                     if self.bpe:
-                        apart = pairs.get((last[s], piece))
-                        if apart or (apart is None and self.apart(last[s], piece)):
-                            found = s
+                        key = ends[s] << 21 | i
+                        apart = pairs.get(key)
+                        if apart or (apart is None and self.apart(key, last[s], piece)):
+                            found, piece_id = s, i + 1
                             break
                     else:
-                        sum_ = best[s] + (score[id_of[piece]] if piece in id_of else floor)
+                        sum_ = best[s] + (score[i] if i < other else floor)
                         if top is None or sum_ > top:
                             top, found = sum_, s
                 back.append(found)
                 last.append(word[found:e])
+                ends.append(piece_id)
                 best.append(top or 0.0)
             before, out, e = word, [], len(word)
             while e:
