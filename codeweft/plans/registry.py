@@ -2,6 +2,316 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from codeweft.operators import analytics as A
+from codeweft.operators import graph as G
+from codeweft.operators import vectors as V
+from codeweft.plans.starschema import graph, oracle
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-FLAGSHIP = ""
+FLAGSHIP = "impact_analysis"
+
+
+def _query(sql: str = "", over_graph: bool = True):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = oracle(sql) if over_graph else sql
+        return f
+
+    return add
+
+
+def _on_graph(sql: str = ""):
+    """A query given as f(nodes, edges)."""
+
+    def add(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(*graph(spark, sf_dir))
+
+        run.__name__ = f.__name__
+        run.__doc__ = f.__doc__
+        return _query(sql)(run)
+
+    return add
+
+
+RANK = "CASE WHEN entity_type = 'file' THEN 0 WHEN entity_type IN ('class', 'interface') THEN 1 WHEN entity_type = 'function' THEN 2 ELSE 3 END"
+PAIRS = """p AS (SELECT s.file_path AS source_path, t.file_path AS target_path, string_agg(DISTINCT type, ',' ORDER BY type) AS types
+    FROM edges JOIN nodes s ON s.id = source_id JOIN nodes t ON t.id = target_id WHERE type IN ('DEPENDS_ON', 'IMPORTS') AND source_id <> target_id GROUP BY 1, 2)"""
+REFS = "('CALLS', 'IMPLEMENTS', 'INHERITS', 'USES')"
+
+
+@_on_graph("q AS (SELECT entity_type, count(*) AS n FROM nodes GROUP BY 1) SELECT * FROM q")
+def graph_stats_nodes(nodes, edges):
+    return G.counts(nodes, "entity_type")
+
+
+@_on_graph("q AS (SELECT type, count(*) AS n FROM edges GROUP BY 1) SELECT * FROM q")
+def graph_stats_edges(nodes, edges):
+    return G.counts(edges, "type")
+
+
+@_on_graph("q AS (SELECT * FROM nodes WHERE id = 'class:7') SELECT * FROM q")
+def graph_entity(nodes, edges):
+    return nodes.where("id = 'class:7'")
+
+
+@_on_graph("""q AS (SELECT *, CASE WHEN id = 'ALGERIA' THEN 0 WHEN qualified_name = 'ALGERIA' THEN 1 WHEN name = 'ALGERIA' THEN 2
+    WHEN contains(lower(name), 'a') OR contains(lower(qualified_name), 'a') THEN 3 END AS rank FROM nodes WHERE entity_type IN ('file', 'interface'))
+    SELECT id, rank FROM q WHERE rank IS NOT NULL ORDER BY rank, file_path, start_line, id LIMIT 50""")
+def graph_search_ranked(nodes, edges):
+    found = G.search(nodes, "ALGERIA", 50, ["file", "interface"]).unionByName(nodes.withColumn("rank", F.lit(None).cast("int")).where("false"))
+    part = G.search(nodes.join(found.select("id"), "id", "left_anti"), "a", 50, ["file", "interface"], partial=True)
+    return found.unionByName(part).orderBy("rank", "file_path", "start_line", "id").limit(50).select("id", "rank")
+
+
+@_on_graph(f"q AS (SELECT id, entity_type, file_path, start_line FROM nodes ORDER BY {RANK}, file_path, start_line, id LIMIT 151) SELECT * FROM q")
+def graph_page_nodes(nodes, edges):
+    return G.page(nodes, 151).select("id", "entity_type", "file_path", "start_line")
+
+
+@_on_graph(f"""q AS (SELECT id FROM nodes ORDER BY {RANK}, file_path, start_line, id LIMIT 500)
+    SELECT e.id, e.type, e.source_id, e.target_id, coalesce(e.line, 0) AS line FROM edges e WHERE source_id IN (FROM q) AND target_id IN (FROM q) ORDER BY type, source_id, target_id, id LIMIT 2000""")
+def graph_page_edges(nodes, edges):
+    return G.induced(edges, G.page(nodes, 500), 2000).withColumn("line", F.coalesce("line", F.lit(0)))
+
+
+_RELATED = """q AS (SELECT n.id, e.type, e.line, n.file_path FROM edges e JOIN nodes n ON n.id = e.{there} WHERE e.{here} = '{id}' AND e.type IN ({types})
+    ORDER BY e.type, n.file_path, n.start_line, n.id, e.id LIMIT 50) SELECT * FROM q"""
+
+
+@_on_graph(_RELATED.format(here="target_id", there="source_id", id="interface:3", types="'CALLS'"))
+def graph_callers(nodes, edges):
+    return G.related(nodes, edges, "interface:3", ["CALLS"], "incoming", 50).select("id", "type", "line", "file_path")
+
+
+@_on_graph(_RELATED.format(here="source_id", there="target_id", id="method:7", types="'CALLS', 'USES'"))
+def graph_callees(nodes, edges):
+    return G.related(nodes, edges, "method:7", ["CALLS", "USES"], "outgoing", 50).select("id", "type", "line", "file_path")
+
+
+@_on_graph("""o AS (SELECT n.id, e.type, 'outgoing' AS direction FROM edges e JOIN nodes n ON n.id = e.target_id WHERE e.source_id = 'class:7' ORDER BY e.type, n.file_path, n.start_line, n.id, e.id LIMIT 50),
+    i AS (SELECT n.id, e.type, 'incoming' AS direction FROM edges e JOIN nodes n ON n.id = e.source_id WHERE e.target_id = 'class:7' ORDER BY e.type, n.file_path, n.start_line, n.id, e.id LIMIT 50)
+    SELECT * FROM o UNION ALL SELECT * FROM i""")
+def graph_neighbors(nodes, edges):
+    return G.neighbors(nodes, edges, "class:7", 50).select("id", "type", "direction")
+
+
+_REACH = """r(id, depth) AS (SELECT '{id}', 0 UNION SELECT e.{there}, r.depth + 1 FROM r JOIN edges e ON e.{here} = r.id WHERE r.depth < {depth} AND e.type IN ({types}))
+    SELECT id, min(depth)::INT AS depth FROM r WHERE id <> '{id}' GROUP BY id"""
+
+
+@_on_graph(_REACH.format(id="file:3", here="source_id", there="target_id", depth=2, types="'CONTAINS'"))
+def graph_contained(nodes, edges):
+    return G.contained(edges, nodes.where("id = 'file:3'"), 2).select("id", "depth")
+
+
+@_on_graph(_REACH.format(id="file:3", here="source_id", there="target_id", depth=3, types="'IMPORTS', 'DEPENDS_ON'"))
+def graph_reachable_d3(nodes, edges):
+    return G.reachable(edges, nodes.where("id = 'file:3'"), ["IMPORTS", "DEPENDS_ON"], "outgoing", 3).select("id", "depth")
+
+
+@_on_graph("""w(path, id, n) AS (SELECT ['file:3'], 'file:3', 0 UNION ALL SELECT list_append(path, target_id), target_id, n + 1 FROM w
+    JOIN (SELECT DISTINCT source_id, target_id FROM edges WHERE type IN ('IMPORTS', 'DEPENDS_ON')) e ON source_id = w.id WHERE n < 4 AND w.id <> 'file:8' AND NOT list_contains(path, target_id)),
+    d AS (SELECT array_to_string(path, ' > ') AS path, n FROM w WHERE id = 'file:8') SELECT path FROM d WHERE n = (SELECT min(n) FROM d) ORDER BY path LIMIT 20""")
+def graph_shortest_paths(nodes, edges):
+    return G.shortest_paths(edges, "file:3", "file:8", 4, 20, ["IMPORTS", "DEPENDS_ON"]).select(F.array_join("path", " > ").alias("path"))
+
+
+@_on_graph("""c(id, depth) AS (SELECT 'interface:3', 0 UNION SELECT e.target_id, c.depth + 1 FROM c JOIN edges e ON e.source_id = c.id WHERE e.type = 'CONTAINS' AND c.depth < 5),
+    r(id, depth) AS (SELECT id, 0 FROM c UNION SELECT e.source_id, r.depth + 1 FROM r JOIN edges e ON e.target_id = r.id WHERE e.type <> 'CONTAINS' AND r.depth < 3)
+    SELECT depth, least(count(*), 300) AS entities FROM (SELECT id, min(depth) AS depth FROM r GROUP BY id) WHERE depth > 0 GROUP BY depth""")
+def impact_by_depth(nodes, edges):
+    return G.impact(nodes, edges, "interface:3").groupBy("depth").agg(F.count("*").alias("entities"))
+
+
+@_on_graph("""c(id, depth) AS (SELECT 'file:3', 0 UNION SELECT e.target_id, c.depth + 1 FROM c JOIN edges e ON e.source_id = c.id WHERE e.type = 'CONTAINS' AND c.depth < 5),
+    s AS (SELECT id, row_number() OVER (ORDER BY min(depth), id) - 1 AS pos FROM c GROUP BY id),
+    f AS (SELECT e.source_id AS id, s.id AS via, e.type, row_number() OVER (PARTITION BY e.source_id ORDER BY pos, e.type, n.file_path, e.line, e.id) AS rn, pos, n.file_path, e.line, e.id AS edge
+        FROM s JOIN edges e ON e.target_id = s.id JOIN nodes n ON n.id = e.source_id WHERE e.type <> 'CONTAINS' AND e.source_id NOT IN (SELECT id FROM s))
+    SELECT id, 1 AS depth, via, type FROM f WHERE rn = 1 ORDER BY pos, type, file_path, line, edge LIMIT 300""")
+def impact_analysis(nodes, edges):
+    return G.impact(nodes, edges, "file:3", depth=1)
+
+
+@_on_graph(f"{PAIRS} SELECT * FROM p")
+def deps_pairs(nodes, edges):
+    return A.file_dependencies(nodes, edges)
+
+
+@_on_graph(f"{PAIRS} SELECT target_path AS file_path, count(*) AS dependents FROM p GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+def deps_file_hubs(nodes, edges):
+    return A.file_hubs(A.file_dependencies(nodes, edges))
+
+
+@_on_graph(f'q AS (SELECT target_id AS id, count(DISTINCT source_id) AS "references" FROM edges WHERE type IN {REFS} GROUP BY 1) SELECT id, "references", file_path, start_line FROM q JOIN nodes USING (id) ORDER BY 2 DESC, file_path, start_line, id LIMIT 10')
+def deps_entity_hubs(nodes, edges):
+    return A.entity_hubs(nodes, edges)
+
+
+@_on_graph(f"q AS (SELECT DISTINCT target_id FROM edges WHERE type IN {REFS}) SELECT id, entity_type FROM nodes WHERE entity_type <> 'file' AND id NOT IN (FROM q)")
+def deps_unreferenced(nodes, edges):
+    return A.unreferenced(nodes, edges).select("id", "entity_type")
+
+
+@_on_graph(f"{PAIRS} SELECT file_path FROM nodes WHERE entity_type = 'file' AND file_path NOT IN (SELECT target_path FROM p)")
+def deps_no_dependents(nodes, edges):
+    return A.without_dependents(nodes, A.file_dependencies(nodes, edges))
+
+
+@_on_graph(f"{PAIRS} SELECT file_path FROM nodes WHERE entity_type = 'file' AND file_path NOT IN (SELECT target_path FROM p) AND file_path IN (SELECT source_path FROM p)")
+def deps_entry_points(nodes, edges):
+    return A.entry_points(nodes, A.file_dependencies(nodes, edges))
+
+
+@_on_graph(f"""{PAIRS}, r(a, b) AS (SELECT source_path, target_path FROM p UNION SELECT r.a, p.target_path FROM r JOIN p ON p.source_path = r.b),
+    m AS (SELECT x.a, least(x.a, min(x.b)) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a WHERE x.a <> x.b GROUP BY x.a) SELECT a AS file_path, component FROM m""")
+def deps_scc(nodes, edges):
+    return A.components(A.file_dependencies(nodes, edges))
+
+
+@_on_graph(f"""{PAIRS}, w(start, here, path) AS (SELECT source_path, target_path, [source_path] FROM p
+        UNION ALL SELECT start, p.target_path, list_append(path, here) FROM w JOIN p ON p.source_path = here WHERE here <> start AND NOT list_contains(path, here) AND len(path) < 7),
+    c AS (SELECT path, row_number() OVER (PARTITION BY start ORDER BY len(path), path) AS rn FROM w WHERE here = start),
+    t AS (SELECT DISTINCT len(path) AS length, list_concat(path[list_position(path, list_min(path)):], path[:list_position(path, list_min(path)) - 1]) AS cycle FROM c WHERE rn = 1)
+    SELECT length::INT AS length, array_to_string(cycle, ' > ') AS cycle FROM t ORDER BY 1, 2 LIMIT 50""")
+def deps_cycles(nodes, edges):
+    return A.cycles(A.file_dependencies(nodes, edges))
+
+
+@_on_graph("q AS (SELECT split_part(file_path, '/', 1) AS module, count(*) AS files FROM nodes WHERE entity_type = 'file' GROUP BY 1) SELECT * FROM q")
+def facts_modules(nodes, edges):
+    return A.files_per_module(nodes)
+
+
+@_on_graph(f"{PAIRS} SELECT split_part(source_path, '/', 1) AS source_module, split_part(target_path, '/', 1) AS target_module, count(*) AS pairs FROM p WHERE split_part(source_path, '/', 1) <> split_part(target_path, '/', 1) GROUP BY 1, 2")
+def facts_module_deps(nodes, edges):
+    return A.module_dependencies(A.file_dependencies(nodes, edges))
+
+
+@_on_graph("""q AS (SELECT e.source_id AS id, count(*) AS methods FROM edges e JOIN nodes m ON m.id = e.target_id WHERE e.type = 'CONTAINS' AND m.entity_type = 'method' GROUP BY 1)
+    SELECT id, methods FROM q JOIN nodes USING (id) ORDER BY methods DESC, file_path, start_line, id LIMIT 8""")
+def facts_largest_classes(nodes, edges):
+    return A.largest_types(nodes, edges)
+
+
+@_on_graph("q AS (SELECT language, entity_type, count(*) AS n FROM nodes GROUP BY 1, 2) SELECT * FROM q")
+def facts_totals(nodes, edges):
+    return nodes.groupBy("language", "entity_type").agg(F.count("*").alias("n"))
+
+
+@_on_graph(f"""q AS (SELECT s.file_path AS source_path, t.file_path AS target_path, min(line) AS line FROM edges JOIN nodes s ON s.id = source_id JOIN nodes t ON t.id = target_id
+    WHERE type IN {REFS} AND s.file_path <> t.file_path GROUP BY 1, 2) SELECT * FROM q""")
+def depends_on_derived(nodes, edges):
+    return A.derived_dependencies(nodes, edges)
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_LINES = "(SELECT 'CALLS' AS type, 'o' || l_orderkey AS source_id, 's' || l_suppkey AS target_id, l_linenumber AS line, l_partkey AS part FROM lineitem)"
+
+
+@_query(f"SELECT source_id, type, target_id, line, part FROM (SELECT *, row_number() OVER (PARTITION BY source_id, target_id ORDER BY line) AS rn FROM {_LINES}) WHERE rn = 1", False)
+def first_edge_dedup(spark, sf_dir):
+    e = _table(spark, sf_dir, "lineitem").selectExpr("'CALLS' AS type", "'o' || l_orderkey AS source_id", "'s' || l_suppkey AS target_id", "l_linenumber AS line", "l_partkey AS part")
+    return A.first_edges(e, ["line"]).select("source_id", "type", "target_id", "line", "part")
+
+
+@_query("""SELECT l_orderkey, l_linenumber, CASE WHEN n = 1 THEN base ELSE base || '#' || n END AS id FROM (SELECT *, 'o' || l_orderkey || ':' || l_returnflag AS base,
+    row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber) AS n FROM lineitem)""", False)
+def occurrence_ids(spark, sf_dir):
+    from codeweft.functions.entities import occurrence_ids as numbered
+
+    t = _table(spark, sf_dir, "lineitem").selectExpr("*", "'o' || l_orderkey || ':' || l_returnflag AS base")
+    return numbered(t, "base", ["l_linenumber"]).select("l_orderkey", "l_linenumber", "id")
+
+
+_SCORE = "round(list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda x: x[1]::DOUBLE * x[2]::DOUBLE)), 6)"
+_TOP = f"""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, e.label, {_SCORE} AS score FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0 {{where}}),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rn FROM s {{having}}) SELECT query_id, vec_id, label, score FROM r WHERE rn <= {{k}}"""
+
+
+def _queries(v: DataFrame) -> DataFrame:
+    return v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+
+
+@_query(_TOP.format(where="", having="", k=10), False)
+def vec_topk(spark, sf_dir):
+    v = _table(spark, sf_dir, "embeddings")
+    return V.top_k(v, _queries(v), 10)
+
+
+@_query(_TOP.format(where="AND e.label IN (1, 3)", having="", k=5), False)
+def vec_topk_filtered(spark, sf_dir):
+    v = _table(spark, sf_dir, "embeddings")
+    return V.top_k(v.where("label in (1, 3)"), _queries(v), 5)
+
+
+@_query(_TOP.format(where="", having="WHERE score >= 0.2", k=50), False)
+def vec_threshold(spark, sf_dir):
+    v = _table(spark, sf_dir, "embeddings")
+    return V.top_k(v, _queries(v), 50, 0.2)
+
+
+@_query("""WITH a AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE doc_id % 11 <> 0), b AS (SELECT doc_id, sha256(CASE WHEN doc_id % 7 = 0 THEN text || '.' ELSE text END) AS h FROM documents WHERE doc_id % 13 <> 0)
+    SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NULL THEN 'added' WHEN b.doc_id IS NULL THEN 'deleted' WHEN a.h <> b.h THEN 'modified' ELSE 'unchanged' END AS change FROM a FULL JOIN b ON a.doc_id = b.doc_id""", False)
+def change_detect(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents")
+    old = d.where("doc_id % 11 <> 0").select("doc_id", F.sha2("text", 256).alias("hash"))
+    new = d.where("doc_id % 13 <> 0").select("doc_id", F.sha2(F.expr("case when doc_id % 7 = 0 then text || '.' else text end"), 256).alias("hash"))
+    return V.changes(old, new, "doc_id")
+
+
+@_query("""SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey % 5 <> 0 UNION ALL SELECT c_custkey, 'new ' || c_name, c_acctbal FROM customer WHERE c_custkey % 5 = 0""", False)
+def upsert_nodes(spark, sf_dir):
+    c = _table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
+    return V.upsert(c, c.where("c_custkey % 5 = 0").withColumn("c_name", F.concat(F.lit("new "), "c_name")), "c_custkey")
+
+
+@_query(r"""SELECT doc_id, sha256('model-1' || chr(10) || 'file: ' || source || chr(10) || text) AS content_hash FROM documents""", False)
+def chunk_hash(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.sha2(F.concat(F.lit("model-1\nfile: "), "source", F.lit("\n"), "text"), 256).alias("content_hash"))
+
+
+@_query("""WITH RECURSIVE d AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda l: length(l) + 1) AS n FROM documents),
+    w(doc_id, part, s, e, n) AS (SELECT doc_id, 0, 0, 0, n FROM d UNION ALL SELECT doc_id, part + 1, ns, ns + greatest(1, coalesce(list_position(list_transform(range(1, least(len(n) - ns + 1, 200) + 1), lambda k: list_sum(n[ns:ns + k - 1]) > 2000), true) - 1, len(n) - ns + 1)) - 1, n
+        FROM (SELECT *, CASE WHEN part = 0 THEN 1 ELSE greatest(e + 1 - 3, s + 1) END AS ns FROM w WHERE part = 0 OR e < len(n)))
+    SELECT doc_id, part, s AS first_line, e AS last_line FROM w WHERE part > 0""", False)
+def chunk_windows(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("lines"))
+    return V.chunk_windows(d, "doc_id", 2000, 3)
+
+
+@_query(r"""WITH a AS (SELECT conv_id, turn, 'see [' || (turn % 4) || ', ' || (turn + 1) || '] and [99] in ' || text AS answer FROM conversations),
+    n AS (SELECT conv_id, turn, list_sort(list_distinct(flatten(list_transform(regexp_extract_all(answer, '\[(\d+(?:\s*,\s*\d+)*)\]', 1), lambda m: list_transform(regexp_split_to_array(m, '\s*,\s*'), lambda x: x::INT))))) AS n FROM a)
+    SELECT conv_id || ':' || turn AS answer_id, array_to_string(list_filter(n, lambda x: x >= 1 AND x <= 5), ',') AS cited, array_to_string(list_filter(n, lambda x: x < 1 OR x > 5), ',') AS unknown FROM n""", False)
+def cite_check(spark, sf_dir):
+    c = _table(spark, sf_dir, "conversations").selectExpr("conv_id || ':' || turn AS answer_id", "'see [' || (turn % 4) || ', ' || (turn + 1) || '] and [99] in ' || text AS answer")
+    return V.citations(c, "answer_id", "answer", 5)
+
+
+@_query(r"""SELECT conv_id, turn, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped FROM conversations""", False)
+def prompt_escape(spark, sf_dir):
+    from codeweft.functions.prompts import escaped
+
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", escaped(F.col("text")).alias("escaped"))
+
+
+@_query(f"""WITH s AS (SELECT q.vec_id AS query_id, q.label AS want, e.vec_id, e.label, {_SCORE} AS score FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rn FROM s),
+    x AS (SELECT DISTINCT vec_id AS query_id, unnest([label, (label + 1) % 10]) AS item FROM embeddings WHERE vec_id % 20 = 0)
+    SELECT x.query_id, round(avg(CASE WHEN h.query_id IS NULL THEN 0 ELSE 1 END), 6) AS recall FROM x LEFT JOIN (SELECT DISTINCT query_id, label FROM r WHERE rn <= 5) h ON h.query_id = x.query_id AND h.label = x.item GROUP BY 1""", False)
+def eval_recall(spark, sf_dir):
+    v = _table(spark, sf_dir, "embeddings")
+    found = V.top_k(v, _queries(v), 5).select("query_id", F.col("label").alias("item"), F.lit(1).alias("rank"))
+    expected = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.explode(F.array(F.col("label"), (F.col("label") + 1) % 10)).alias("item"))
+    return V.recall_at(expected, found, 5)
