@@ -28,6 +28,12 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by rows and bytes: texts may be long, and a default batch has 10,000 of them."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/codeweft/{name}-{uuid.uuid4().hex}"
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeweft.llm._common import BROADCAST_BYTES, LAST_ID, documents, id_key, text_of, written
+from codeweft.llm._common import BROADCAST_BYTES, LAST_ID, bounded_batches, documents, id_key, text_of, written
 from codeweft.llm._rolling import WORD_BASES, Words, mixed, rolling, signed, slices
 from codeweft.llm.components import connected
 
@@ -172,6 +172,7 @@ def _candidates(classes: DataFrame, percent: int) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, percent: int = PERCENT) -> DataFrame:
     """One row for each row of docs: _key (its id, LAST_ID for null), _mark (text hash), n_shingles, root (smallest _key reachable)."""
+    bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     rows = docs.select(id_key(id_col).alias("key"), F.xxhash64(text_of(text_col)).alias("mark"), text_of(text_col).alias("text"))
     levels = spark.sparkContext.broadcast(commonness(rows, run))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from codeweft.llm._common import LAST_ID, documents, id_key, new_path, text_of, written
+from codeweft.llm._common import LAST_ID, bounded_batches, documents, id_key, new_path, text_of, written
 
 MAGIC, HEADER = b"BPK1", "<4sIQQQQ"
 RECORD_IDS, FILE_RECORDS, CACHE_CHUNKS = 1 << 20, 16, 400_000
@@ -200,6 +200,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def write_packed(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode docs and write them to path in ascending id order. vocabulary: the tokenizer's JSON."""
+    bounded_batches(docs.sparkSession)
     from tokenizers import Tokenizer
 
     bits = width(max(Tokenizer.from_str(vocabulary).get_vocab_size(), end_id + 1))
@@ -215,6 +216,7 @@ def write_packed(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_
 
 def read_packed(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens and ids_crc32, all from the files."""
+    bounded_batches(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("content")
     rows = written(files.mapInArrow(_read, "range long, seq long, key long, at long, n long, crc long"), "packed-index")
     parts = rows.groupBy("range", "seq").agg(F.sum("n").alias("n"))

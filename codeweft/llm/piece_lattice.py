@@ -31,11 +31,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeweft.llm._chunks import text_runs
-from codeweft.llm._common import documents, text_of
+from codeweft.llm._common import bounded_batches, documents, text_of
 
 BLANK = "▁"
-#: Words, and pairs of pieces, that a worker keeps (about 170 MB): the first it meets, as the frequent ones come early.
-CACHE_WORDS, CACHE_PAIRS = 500_000, 600_000
+#: Words, and pairs of pieces, that a worker keeps (about 140 MB): the first it meets, as the frequent ones come early.
+CACHE_WORDS, CACHE_PAIRS = 400_000, 500_000
 _WORD = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 
 
@@ -221,17 +221,19 @@ def _digest(model: bytes):
     return run
 
 
-def encode(docs: DataFrame, model: bytes, text_col: str = "text", out_col: str = "piece_ids") -> DataFrame:
-    """docs with out_col: the ids of each whole text."""
-    kind = docs.select(F.struct("*").alias("row")).schema["row"].dataType.simpleString()
-    out = docs.select(F.struct("*").alias("row"), text_of(text_col).alias("text")).mapInArrow(_encode(model), f"row {kind}, ids array<int>")
-    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns], F.col("ids").alias(out_col))
+def encode(docs: DataFrame, model: bytes, text_col: str = "text", out_col: str = "piece_ids", keep: list[str] | None = None) -> DataFrame:
+    """The columns keep of docs (all, unless named), with out_col: the ids of each whole text."""
+    bounded_batches(docs.sparkSession)
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("row"), text_of(text_col).alias("text"))
+    out = row.mapInArrow(_encode(model), f"row {row.schema['row'].dataType.simpleString()}, ids array<int>")
+    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in keep or docs.columns], F.col("ids").alias(out_col))
 
 
 def decode(docs: DataFrame, model: bytes, ids_col: str = "piece_ids", out_col: str = "decoded") -> DataFrame:
     """docs with out_col: the text of the ids."""
-    kind = docs.select(F.struct("*").alias("row")).schema["row"].dataType.simpleString()
-    out = docs.select(F.struct("*").alias("row"), F.col(ids_col).alias("ids")).mapInArrow(_decode(model), f"row {kind}, decoded string")
+    bounded_batches(docs.sparkSession)
+    row = docs.select(F.struct("*").alias("row"), F.col(ids_col).alias("ids"))
+    out = row.mapInArrow(_decode(model), f"row {row.schema['row'].dataType.simpleString()}, decoded string")
     return out.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns], F.col("decoded").alias(out_col))
 
 
@@ -268,6 +270,7 @@ def model_file(name: str = "piece_bpe_32k.model") -> bytes:
 
 def digests(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row: id, n_pieces, the CRC-32 of its ids (little-endian, 32 bits) and whether decoding gives the text back."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     out = rows.mapInArrow(_digest(model), f"id {dict(docs.dtypes)[id_col]}, n_pieces long, ids_crc32 long, round_trip boolean")
     return out.withColumnRenamed("id", id_col)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeweft.llm._common import documents, text_of
+from codeweft.llm._common import bounded_batches, documents, text_of
 from codeweft.llm._rolling import Words, slices
 
 PASSAGE, FOLDS, SAMPLE, THRESHOLD, SEED = 64, 5, 4000, 0.3, 5
@@ -140,6 +140,7 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Mil | None:
     """Fit on at most `sample` labelled rows that are not held out."""
+    bounded_batches(docs.sparkSession)
     own = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).cast("double").alias("y"))
     own = own.orderBy(F.xxhash64("_id", F.lit(SEED)), "_id").limit(sample)
     rows = docs.join(F.broadcast(own), F.col(id_col) == F.col("_id")).select("_id", "y", text_of(text_col).alias("text")).groupBy("_id").agg(F.min(F.struct("text", "y")).alias("r"))
@@ -165,12 +166,14 @@ def _score(model: Mil | None):
 
 def score(docs: DataFrame, model: Mil | None, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row for each row of docs: its id, held_out, score and predicted."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).mapInArrow(_score(model), f"id {dict(docs.dtypes)[id_col]}, score double")
     return rows.select(F.col("id").alias(id_col), held_out("id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, model: Mil | None, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that the classifier accepts, with their own columns."""
+    bounded_batches(docs.sparkSession)
     row = docs.select(F.struct("*").alias("row"), text_of(text_col).alias("text"))
     kind = row.schema["row"].dataType.simpleString()
     out = row.mapInArrow(_score(model), f"id {kind}, score double").where(F.col("score") >= threshold)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeweft.llm._chunks import text_runs
-from codeweft.llm._common import documents, text_of
+from codeweft.llm._common import bounded_batches, documents, text_of
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
@@ -253,6 +253,7 @@ def _scan(crf: Crf):
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crf: Crf | None = None) -> DataFrame:
     """One row for each row of docs: counts by kind, the digest of base spans, and all spans."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     out = rows.mapInArrow(_scan(crf or model()), f"id {dict(docs.dtypes)[id_col]}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_crf long")
     return out.withColumnRenamed("id", id_col)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeweft.llm._common import BROADCAST_BYTES, documents, id_key, text_of, written
+from codeweft.llm._common import BROADCAST_BYTES, bounded_batches, documents, id_key, text_of, written
 from codeweft.llm._rolling import WORD_BASES, Words, rolling, signed, slices
 
 WINDOW, ANCHOR = 50, 25
@@ -149,6 +149,7 @@ def _joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> bytes:
 def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR, with_text: bool = True) -> DataFrame:
     """For each row of docs: id, n_words, n_removed, kept_sha256, the removed intervals (first word, end
     exclusive) and, on request, the kept words."""
+    bounded_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(id_key(id_col).alias("key"), F.xxhash64(text_of(text_col)).alias("mark"), text_of(text_col).alias("text"), F.col(id_col).alias("id"))
     starts = written(repeated_windows(rows.select("key", "mark", "text"), window, anchor), "starts")
