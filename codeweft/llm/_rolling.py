@@ -9,7 +9,7 @@ import pyarrow as pa
 
 BYTE_BASE = 0x9E3779B97F4A7C15
 WORD_BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, *range(9, 14)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)

@@ -34,8 +34,9 @@ from codeweft.llm._chunks import text_runs
 from codeweft.llm._common import bounded_batches, documents, text_of
 
 BLANK = "▁"
-#: Words, and pairs of pieces, that a worker keeps (about 140 MB): the first it meets, as the frequent ones come early.
-CACHE_WORDS, CACHE_PAIRS = 400_000, 500_000
+#: Words that a worker keeps, and as many pairs of pieces: the first it meets, as the frequent ones come early.
+#: A word takes about 220 bytes, a pair 90; more of them cost memory and save time, the ids are the same.
+CACHE_WORDS = 100_000
 _WORD = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 
 
@@ -77,8 +78,8 @@ def read_model(data: bytes) -> tuple[list[tuple[str, float, int]], bool]:
 class Lattice:
     """Encodes words; keeps what it has found for the words and pairs of a worker process."""
 
-    def __init__(self, pieces: list[tuple[str, float, int]], bpe: bool):
-        self.bpe = bpe
+    def __init__(self, pieces: list[tuple[str, float, int]], bpe: bool, cache: int = CACHE_WORDS):
+        self.bpe, self.cache = bpe, cache
         self.id_of = {p: k for k, (p, _, kind) in enumerate(pieces) if kind in (1, 4)}
         self.score = [s for _, s, _ in pieces]
         self.bytes = {int(p[3:5], 16): k for k, (p, _, kind) in enumerate(pieces) if kind == 6}
@@ -107,7 +108,7 @@ class Lattice:
         """Whether BPE keeps the neighbours a and b apart, and each of them whole. a is empty where b begins
         the word; key stands for the two."""
         same = self.merged(a + b) == ([a, b] if a else [b])
-        if len(self.pairs) < CACHE_PAIRS:
+        if len(self.pairs) < max(self.cache, 300_000):
             self.pairs[key] = same
         return same
 
@@ -162,8 +163,8 @@ class Lattice:
         split = [_WORD.findall((BLANK + t).replace(" ", BLANK)) if t else [] for t in texts]
         fresh = sorted({w for words in split for w in set(words) if w not in self.words})
         found = dict(zip(fresh, map(self.ids, self.paths(fresh)), strict=True))
-        self.words.update(islice(found.items(), max(0, CACHE_WORDS - len(self.words))))
-        of = self.words.__getitem__ if len(self.words) < CACHE_WORDS else lambda w: self.words.get(w) or found[w]
+        self.words.update(islice(found.items(), max(0, self.cache - len(self.words))))
+        of = self.words.__getitem__ if len(self.words) < self.cache else lambda w: self.words.get(w) or found[w]
         return [list(chain.from_iterable(map(of, words))) for words in split]
 
     def encode(self, text: str) -> list[int]:
@@ -177,17 +178,18 @@ class Lattice:
 _lattices: dict[int, Lattice] = {}
 
 
-def _lattice(model: bytes) -> Lattice:
+def _lattice(model: bytes, cache: int = CACHE_WORDS) -> Lattice:
     """One for each worker process and model."""
     key = zlib.crc32(model)
     if key not in _lattices:
         _lattices[key] = Lattice(*read_model(model))
+    _lattices[key].cache = cache
     return _lattices[key]
 
 
-def _encode(model: bytes):
+def _encode(model: bytes, cache: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _lattice(model)
+        own = _lattice(model, cache)
         for batch in batches:
             for first, texts in text_runs(batch.column(1)):
                 ids = own.encode_all(texts)
@@ -206,9 +208,9 @@ def _decode(model: bytes):
     return run
 
 
-def _digest(model: bytes):
+def _digest(model: bytes, cache: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _lattice(model)
+        own = _lattice(model, cache)
         for batch in batches:
             for first, texts in text_runs(batch.column(1)):
                 n, crc, same = [], [], []
@@ -221,11 +223,11 @@ def _digest(model: bytes):
     return run
 
 
-def encode(docs: DataFrame, model: bytes, text_col: str = "text", out_col: str = "piece_ids", keep: list[str] | None = None) -> DataFrame:
+def encode(docs: DataFrame, model: bytes, text_col: str = "text", out_col: str = "piece_ids", keep: list[str] | None = None, cache: int = CACHE_WORDS) -> DataFrame:
     """The columns keep of docs (all, unless named), with out_col: the ids of each whole text."""
     bounded_batches(docs.sparkSession)
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("row"), text_of(text_col).alias("text"))
-    out = row.mapInArrow(_encode(model), f"row {row.schema['row'].dataType.simpleString()}, ids array<int>")
+    out = row.mapInArrow(_encode(model, cache), f"row {row.schema['row'].dataType.simpleString()}, ids array<int>")
     return out.select(*[F.col(f"row.`{c}`").alias(c) for c in keep or docs.columns], F.col("ids").alias(out_col))
 
 
@@ -268,13 +270,13 @@ def model_file(name: str = "piece_bpe_32k.model") -> bytes:
         return f.read()
 
 
-def digests(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def digests(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", cache: int = CACHE_WORDS) -> DataFrame:
     """For each row: id, n_pieces, the CRC-32 of its ids (little-endian, 32 bits) and whether decoding gives the text back."""
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
-    out = rows.mapInArrow(_digest(model), f"id {dict(docs.dtypes)[id_col]}, n_pieces long, ids_crc32 long, round_trip boolean")
+    out = rows.mapInArrow(_digest(model, cache), f"id {dict(docs.dtypes)[id_col]}, n_pieces long, ids_crc32 long, round_trip boolean")
     return out.withColumnRenamed("id", id_col)
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(documents(spark, sf_dir).select("doc_id", "text"), model_file())
+    return digests(documents(spark, sf_dir).select("doc_id", "text"), model_file(), cache=1_200_000)
