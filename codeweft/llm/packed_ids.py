@@ -31,8 +31,9 @@ from pyspark.sql import functions as F
 from codeweft.llm._common import LAST_ID, bounded_batches, documents, id_key, new_path, text_of, written
 
 MAGIC, HEADER = b"BPK1", "<4sIQQQQ"
-RECORD_IDS, FILE_RECORDS, CACHE_CHUNKS = 1 << 20, 16, 400_000
+RECORD_IDS, FILE_RECORDS, CACHE_CHUNKS = 1 << 20, 16, 800_000
 END_ID = 2
+_SPACES = " \t\n\v\f\r"
 _CHUNK = re.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
 #: White space for the tokenizer beside the characters at which texts are cut into chunks.
 _OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
@@ -70,30 +71,47 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
-        self.size = self.tokenizer.get_vocab_size()
-        self.clear()
-
-    def clear(self) -> None:
+        #: Bytes of each token; a byte-level token has one character for each byte.
+        self.width = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+        special = {i: t.content for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        for token, i in self.tokenizer.get_vocab().items():
+            self.width[i] = len(special[i].encode()) if i in special else len(token)
         self.known: dict[str, int] = {}
         self.sizes, self.starts, self.flat, self.used = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.uint32), 0
 
+    def ids_of(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all chunks, how many of each). Chunks that begin with white space and go on with another
+        character are encoded as one text, and its ids are told apart by their bytes."""
+        one = [c for c in chunks if c[0] in _SPACES and c[-1] not in _SPACES]
+        rest = [c for c in chunks if not (c[0] in _SPACES and c[-1] not in _SPACES)]
+        ids = np.array(self.tokenizer.encode("".join(one), add_special_tokens=False).ids if one else [], dtype=np.uint32)
+        ends = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum([len(c.encode()) for c in one])) + 1 if one else np.zeros(0, np.int64)
+        more = [x.ids for x in self.tokenizer.encode_batch(rest, add_special_tokens=False)]
+        chunks[:] = one + rest
+        return np.concatenate([ids, *(np.array(x, np.uint32) for x in more)]), np.concatenate([np.diff(ends, prepend=0), np.array([len(x) for x in more], np.int64)])
+
     def add(self, chunks: list[str]) -> None:
-        found = [x.ids for x in self.tokenizer.encode_batch(chunks, add_special_tokens=False)]
-        n, sizes = len(self.known), np.fromiter(map(len, found), np.int64, len(found))
-        total = int(sizes.sum())
+        ids, sizes = self.ids_of(chunks)
+        n = len(self.known)
         while n + len(chunks) > len(self.sizes):
             self.sizes, self.starts = np.resize(self.sizes, 2 * len(self.sizes)), np.resize(self.starts, 2 * len(self.starts))
-        while self.used + total > len(self.flat):
+        while self.used + len(ids) > len(self.flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
         self.sizes[n : n + len(chunks)] = sizes
         self.starts[n : n + len(chunks)] = self.used + np.cumsum(sizes) - sizes
-        self.flat[self.used : self.used + total] = [x for ids in found for x in ids]
-        self.used += total
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
         self.known.update(zip(chunks, range(n, n + len(chunks)), strict=True))
 
+    def forget(self, n: int, used: int) -> None:
+        """Drop all chunks but the first n."""
+        while len(self.known) > n:
+            self.known.popitem()
+        self.used = used
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > CACHE_CHUNKS:
-            self.clear()
+        """Ids of each text. The first CACHE_CHUNKS chunks stay known, as the frequent ones come early."""
+        n, used = len(self.known), self.used
         parts = [None if _OTHER_SPACE.search(t) else _CHUNK.findall(t) for t in texts]
         fresh = list({c for p in parts if p for c in set(p) if c not in self.known})
         if fresh:
@@ -107,6 +125,8 @@ class ChunkEncoder:
             size = self.sizes[which]
             to = np.cumsum(size)
             out.append(self.flat[np.arange(to[-1] if len(to) else 0) + np.repeat(self.starts[which] - (to - size), size)])
+        if len(self.known) > CACHE_CHUNKS:
+            self.forget(max(n, 0), used)
         return out
 
 
