@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from codeweft.llm._common import LAST_ID, bounded_batches, documents, id_key, new_path, text_of, written
 
 MAGIC, HEADER = b"BPK1", "<4sIQQQQ"
-RECORD_IDS, FILE_RECORDS, CACHE_CHUNKS = 1 << 20, 16, 800_000
+RECORD_IDS, FILE_RECORDS, CACHE_CHUNKS = 1 << 20, 16, 300_000
 END_ID = 2
 _SPACES = " \t\n\v\f\r"
 _CHUNK = re.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
