@@ -85,6 +85,7 @@ class Lattice:
         self.bytes = {int(p[3:5], 16): k for k, (p, _, kind) in enumerate(pieces) if kind == 6}
         self.unknown = next((k for k, (_, _, kind) in enumerate(pieces) if kind == 2), 0)
         self.longest = max(map(len, self.id_of), default=1)
+        self.tails = {p[k:]: -1 for p in self.id_of for k in range(len(p))} | self.id_of if bpe else {}
         self.pieces = pieces
         self.words: dict[str, tuple[int, ...]] = {}
         self.parts = [bytes([int(p[3:5], 16)]) if kind == 6 else p.encode() if kind in (1, 4) else b"" for p, _, kind in pieces]
@@ -115,7 +116,7 @@ class Lattice:
     def paths(self, words: list[str]) -> Iterator[list[str]]:
         """The best path's pieces of each word: the fold over its ends. What it finds for a prefix holds for
         every word that begins so; sorted words share most of their prefixes with the word before."""
-        id_of, score, pairs, longest = self.id_of, self.score, self.pairs, self.longest
+        id_of, score, pairs, longest, tails = self.id_of, self.score, self.pairs, self.longest, self.tails
         floor = min(score, default=0.0) - 10.0
         other, back, last, ends, best, before = len(score), [0], [""], [0], [0.0], ""
         for word in words:
@@ -124,23 +125,29 @@ class Lattice:
             del back[same + 1 :], last[same + 1 :], ends[same + 1 :], best[same + 1 :]
             for e in range(same + 1, len(word) + 1):
                 top, found, piece_id = None, e - 1, 0
-                for s in range(e - longest if e > longest else 0, e):
-                    piece = word[s:e]
-                    i = id_of.get(piece)
-                    if i is None:
-                        if s < e - 1:
-                            continue
-                        i = other + ord(piece)  # a character without a piece
-                    if self.bpe:
+                if self.bpe:  # one last piece fits, so the shortest is tried first, and none beyond a tail of pieces
+                    for s in range(e - 1, -1, -1):
+                        piece = word[s:e]
+                        i = tails.get(piece)
+                        if i is None or i < 0:
+                            if s == e - 1:
+                                i = other + ord(piece)  # a character without a piece
+                            elif i is None:
+                                break
+                            else:
+                                continue
                         key = ends[s] << 21 | i
                         apart = pairs.get(key)
                         if apart or (apart is None and self.apart(key, last[s], piece)):
                             found, piece_id = s, i + 1
                             break
-                    else:
-                        sum_ = best[s] + (score[i] if i < other else floor)
-                        if top is None or sum_ > top:
-                            top, found = sum_, s
+                else:
+                    for s in range(e - longest if e > longest else 0, e):
+                        i = id_of.get(word[s:e])
+                        if i is not None or s == e - 1:
+                            sum_ = best[s] + (floor if i is None else score[i])
+                            if top is None or sum_ > top:
+                                top, found = sum_, s
                 back.append(found)
                 last.append(word[found:e])
                 ends.append(piece_id)
