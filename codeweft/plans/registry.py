@@ -8,9 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeweft.operators import analytics as A
+from codeweft.operators import extract as X
 from codeweft.operators import graph as G
+from codeweft.operators import hybrid as H
+from codeweft.operators import incremental as I
 from codeweft.operators import vectors as V
 from codeweft.plans.starschema import graph, oracle
+from codeweft.sources.tables import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -315,3 +319,118 @@ def eval_recall(spark, sf_dir):
     found = V.top_k(v, _queries(v), 5).select("query_id", F.col("label").alias("item"), F.lit(1).alias("rank"))
     expected = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.explode(F.array(F.col("label"), (F.col("label") + 1) % 10)).alias("item"))
     return V.recall_at(expected, found, 5)
+
+
+# Source trees: each customer is a project of one class, each of its orders a file that uses it.
+
+
+def _source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = F.lit("class Customer:\n    def pay(self):\n        return 1\n")
+    own = F.lit("from models import Customer\n\n\ndef settle(c: Customer):\n    return c.pay()\n")
+    customers = _table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("project_id"), F.lit("models.py").alias("path"), model.alias("text"))
+    orders = _table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("project_id"), F.concat(F.lit("o"), "o_orderkey", F.lit(".py")).alias("path"), own.alias("text"))
+    every = customers.unionByName(orders).withColumn("content", F.encode("text", "utf-8"))
+    return every.select("project_id", "path", F.lit("python").alias("language"), F.lit(0).alias("scan_ord"), F.sha2("content", 256).alias("sha256"), "content")
+
+
+_ORDERS = "o AS (SELECT CAST(o_custkey AS VARCHAR) AS project_id, 'o' || o_orderkey || '.py' AS path FROM orders), c AS (SELECT CAST(c_custkey AS VARCHAR) AS project_id FROM customer)"
+
+
+@_query(
+    f"""WITH {_ORDERS}, e AS (
+    SELECT project_id, project_id || ':' || path AS id, 'file' AS entity_type, CAST(NULL AS VARCHAR) AS parent_id, 1 AS start_line, 5 AS end_line FROM o
+    UNION ALL SELECT project_id, project_id || ':' || path || ':settle', 'function', project_id || ':' || path, 4, 5 FROM o
+    UNION ALL SELECT project_id, project_id || ':models.py', 'file', NULL, 1, 3 FROM c
+    UNION ALL SELECT project_id, project_id || ':models.py:Customer', 'class', project_id || ':models.py', 1, 3 FROM c
+    UNION ALL SELECT project_id, project_id || ':models.py:Customer.pay', 'method', project_id || ':models.py:Customer', 2, 3 FROM c) SELECT * FROM e""",
+    False,
+)
+def source_entities(spark, sf_dir):
+    """Entities that parsing every file gives."""
+    return X.table(X.analysed(_source_files(spark, sf_dir)), "entities").select("project_id", "id", "entity_type", "parent_id", "start_line", "end_line")
+
+
+@_query(
+    f"""WITH {_ORDERS}, m AS (SELECT project_id, path, project_id || ':' || path AS f, project_id || ':models.py' AS t FROM o JOIN c USING (project_id)), e AS (
+    SELECT project_id, 'IMPORTS' AS type, f AS source_id, t AS target_id, 1 AS line FROM m
+    UNION ALL SELECT project_id, 'USES', f || ':settle', t || ':Customer', 4 FROM m UNION ALL SELECT project_id, 'CALLS', f || ':settle', t || ':Customer.pay', 5 FROM m
+    UNION ALL SELECT project_id, 'DEPENDS_ON', f, t, 4 FROM m UNION ALL SELECT project_id, 'CONTAINS', project_id || ':' || path, project_id || ':' || path || ':settle', NULL FROM o
+    UNION ALL SELECT project_id, 'CONTAINS', project_id || ':models.py', project_id || ':models.py:Customer', NULL FROM c
+    UNION ALL SELECT project_id, 'CONTAINS', project_id || ':models.py:Customer', project_id || ':models.py:Customer.pay', NULL FROM c) SELECT * FROM e""",
+    False,
+)
+def source_edges(spark, sf_dir):
+    """The typed graph that resolution gives in every project."""
+    files = written(X.analysed(_source_files(spark, sf_dir)), "analysed")
+    return X.edges(files, written(X.resolved(files), "resolved")).select("project_id", "type", "source_id", "target_id", "line")
+
+
+# Hybrid retrieval: three fixed lists of hits over the graph.
+
+_HITS = "(1, 'a', 'class:1', 0.9), (1, 'b', 'interface:2', 0.8), (1, 'c', 'class:1', 0.95), (2, 'd', 'file:3', 0.7), (2, 'e', 'function:5', 0.7), (3, 'f', 'method:7', 0.6), (3, 'g', 'nothing', 0.9)"
+_SEEDS = f"""h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS r FROM (VALUES {_HITS}) AS v(query_id, chunk_id, entity_id, score)),
+    s AS (SELECT query_id, entity_id, row_number() OVER (PARTITION BY query_id ORDER BY min(r)) AS seed_rank FROM h GROUP BY 1, 2)"""
+_ASKS = ", ".join(
+    f"('{kind}', {k}, '{relation}', '{edge}', '{way}', {own or H.MAX_NEIGHBORS})" for kind, asks in H.STRATEGY.items() for k, (relation, edge, way, own) in enumerate(asks)
+)
+_EXPANDED = f"""{_SEEDS}, q AS (SELECT s.query_id, s.seed_rank, s.entity_id AS seed_id, k AS expansion, relation, a.type, way, n FROM s JOIN nodes ON id = s.entity_id
+      JOIN (VALUES {_ASKS}) AS a(kind, k, relation, type, way, n) ON kind = entity_type),
+    x AS (SELECT q.*, e.id AS edge_id, t.id AS entity_id, row_number() OVER (PARTITION BY query_id, seed_id, expansion ORDER BY t.file_path, t.start_line, t.id) AS ord
+      FROM q JOIN edges e ON e.type = q.type AND seed_id = CASE way WHEN 'out' THEN source_id ELSE target_id END
+      JOIN nodes t ON t.id = CASE way WHEN 'out' THEN target_id ELSE source_id END),
+    k AS (SELECT query_id, seed_rank, seed_id, expansion, relation, edge_id, entity_id, ord FROM x WHERE ord <= n)"""
+
+
+def _hits(spark: SparkSession) -> DataFrame:
+    return spark.sql(f"SELECT * FROM VALUES {_HITS} AS v(query_id, chunk_id, entity_id, score)")
+
+
+@_query(f"{_EXPANDED} SELECT * FROM k")
+def hybrid_expand(spark, sf_dir):
+    """Neighbours of the hits' entities, by the questions of their types."""
+    return H.expand(H.seeds(_hits(spark)), *graph(spark, sf_dir))
+
+
+@_query(
+    f"""{_EXPANDED}, u AS (SELECT query_id, entity_id, 0 AS a, seed_rank AS b, 0 AS c, 0 AS d FROM s UNION ALL SELECT query_id, entity_id, 1, seed_rank, expansion, ord FROM k),
+    f AS (SELECT *, row_number() OVER (PARTITION BY query_id, entity_id ORDER BY a, b, c, d) AS m FROM u)
+    SELECT query_id, entity_id, row_number() OVER (PARTITION BY query_id ORDER BY a, b, c, d, entity_id) AS position FROM f WHERE m = 1"""
+)
+def hybrid_context(spark, sf_dir):
+    """Entities of each query's context in order."""
+    seeds = H.seeds(_hits(spark))
+    return H.context_entities(seeds, H.expand(seeds, *graph(spark, sf_dir)))
+
+
+# Incremental: lines by their part against lines by their supplier.
+
+_CHUNKS = "SELECT l_{k}key || '|' || l_linenumber AS chunk_id, CAST(max(l_quantity) AS INT) AS content_hash, CAST(min(l_quantity) AS INT) AS payload_hash FROM lineitem GROUP BY 1"
+
+
+@_query(
+    f"""WITH p AS ({_CHUNKS.format(k="part")}), c AS ({_CHUNKS.format(k="supp")})
+    SELECT coalesce(p.chunk_id, c.chunk_id) AS chunk_id, CASE WHEN c.chunk_id IS NULL THEN 'delete' WHEN p.chunk_id IS NULL OR p.content_hash <> c.content_hash THEN 'embed'
+      WHEN p.payload_hash <> c.payload_hash THEN 'update' ELSE 'reuse' END AS action FROM p FULL JOIN c ON p.chunk_id = c.chunk_id""",
+    False,
+)
+def chunk_plan(spark, sf_dir):
+    """What to do with each chunk between two versions."""
+    lines = _table(spark, sf_dir, "lineitem")
+    old, new = (spark.sql(_CHUNKS.format(k=k).replace("FROM lineitem", "FROM {lines}"), lines=lines) for k in ("part", "supp"))
+    return I.chunk_plan(old, new)
+
+
+@_query(
+    f"""WITH p AS ({_CHUNKS.format(k="part")}), c AS ({_CHUNKS.format(k="supp")})
+    SELECT coalesce(p.chunk_id, c.chunk_id) AS id, CASE WHEN p.chunk_id IS NULL THEN 'insert' WHEN c.chunk_id IS NULL THEN 'delete'
+      WHEN p.content_hash <> c.content_hash OR p.payload_hash <> c.payload_hash THEN 'update' ELSE 'keep' END AS action FROM p FULL JOIN c ON p.chunk_id = c.chunk_id""",
+    False,
+)
+def graph_diff(spark, sf_dir):
+    """Changes between two versions of a table, by fingerprint."""
+    lines = _table(spark, sf_dir, "lineitem")
+    old, new = (
+        spark.sql(_CHUNKS.format(k=k).replace("FROM lineitem", "FROM {lines}"), lines=lines).select(F.col("chunk_id").alias("id"), X.fingerprint("content_hash", "payload_hash").alias("fingerprint"))
+        for k in ("part", "supp")
+    )
+    return X.diff(old, new, ["id"])
