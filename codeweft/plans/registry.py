@@ -265,19 +265,27 @@ def vec_threshold(spark, sf_dir):
     return V.top_k(v, _queries(v), 50, 0.2)
 
 
-@_query("""WITH a AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE doc_id % 11 <> 0), b AS (SELECT doc_id, sha256(CASE WHEN doc_id % 7 = 0 THEN text || '.' ELSE text END) AS h FROM documents WHERE doc_id % 13 <> 0)
-    SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NULL THEN 'added' WHEN b.doc_id IS NULL THEN 'deleted' WHEN a.h <> b.h THEN 'modified' ELSE 'unchanged' END AS change FROM a FULL JOIN b ON a.doc_id = b.doc_id""", False)
+_VERSION = "SELECT l_{k}key || '|' || l_linenumber AS path, CAST(max(l_quantity) AS INT) AS hash FROM lineitem GROUP BY 1"
+
+
+@_query(
+    f"""WITH a AS ({_VERSION.format(k="part")}), b AS ({_VERSION.format(k="supp")})
+    SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'deleted' WHEN a.hash <> b.hash THEN 'modified' ELSE 'unchanged' END AS change
+    FROM a FULL JOIN b ON a.path = b.path""",
+    False,
+)
 def change_detect(spark, sf_dir):
-    d = _table(spark, sf_dir, "documents")
-    old = d.where("doc_id % 11 <> 0").select("doc_id", F.sha2("text", 256).alias("hash"))
-    new = d.where("doc_id % 13 <> 0").select("doc_id", F.sha2(F.expr("case when doc_id % 7 = 0 then text || '.' else text end"), 256).alias("hash"))
-    return V.changes(old, new, "doc_id")
+    """Lines by their part against lines by their supplier."""
+    lines = _table(spark, sf_dir, "lineitem")
+    return V.changes(*(spark.sql(_VERSION.format(k=k).replace("FROM lineitem", "FROM {lines}"), lines=lines) for k in ("part", "supp")), "path")
 
 
-@_query("""SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey % 5 <> 0 UNION ALL SELECT c_custkey, 'new ' || c_name, c_acctbal FROM customer WHERE c_custkey % 5 = 0""", False)
+@_query("""SELECT c_custkey, coalesce(s_name, c_name) AS c_name, coalesce(s_acctbal, c_acctbal) AS c_acctbal FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey
+    UNION ALL SELECT s_suppkey, s_name, s_acctbal FROM supplier ANTI JOIN customer ON s_suppkey = c_custkey""", False)
 def upsert_nodes(spark, sf_dir):
+    """Customers, with suppliers put over those of the same key."""
     c = _table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
-    return V.upsert(c, c.where("c_custkey % 5 = 0").withColumn("c_name", F.concat(F.lit("new "), "c_name")), "c_custkey")
+    return V.upsert(c, _table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS c_custkey", "s_name AS c_name", "s_acctbal AS c_acctbal"), "c_custkey")
 
 
 @_query(r"""SELECT doc_id, sha256('model-1' || chr(10) || 'file: ' || source || chr(10) || text) AS content_hash FROM documents""", False)
