@@ -37,8 +37,8 @@ class UnsafePath(ValueError):
     """A path that leads out of its root."""
 
 
-class ArchiveTooLarge(ValueError):
-    """An archive beyond the limits of an import."""
+class ImportTooLarge(ValueError):
+    """A folder or archive beyond the limits of an import."""
 
 
 def language(path: str) -> str | None:
@@ -102,7 +102,10 @@ class _Reader(DataSourceReader):
 
 class _TreeReader(_Reader):
     def partitions(self):
-        return _split((k, p, n, wanted(p, n, self.limit) and not link, p) for k, (p, n, link) in enumerate(listed(self.root)))
+        found = list(listed(self.root))
+        if len(found) > MAX_ENTRIES or sum(n for _, n, _ in found) > MAX_TOTAL_BYTES:
+            raise ImportTooLarge(self.root)
+        return _split((k, p, n, wanted(p, n, self.limit) and not link, p) for k, (p, n, link) in enumerate(found))
 
     def read(self, partition):
         for ord_, path, size, take, name in partition.files:
@@ -132,11 +135,10 @@ class SourceTree(DataSource):
 
 class _ZipReader(_Reader):
     def partitions(self):
-        total = MAX_TOTAL_BYTES
         with zipfile.ZipFile(self.root) as z:
             members = [m for m in z.infolist() if not m.is_dir()]
-        if len(members) > MAX_ENTRIES or sum(m.file_size for m in members) > total:
-            raise ArchiveTooLarge(self.root)
+        if len(members) > MAX_ENTRIES or sum(m.file_size for m in members) > MAX_TOTAL_BYTES:
+            raise ImportTooLarge(self.root)
         paths = {}
         for m in members:
             path = member_path(m.filename)
@@ -155,7 +157,7 @@ class _ZipReader(_Reader):
                     with z.open(name) as f:
                         content = f.read(size + 1)  # a member longer than it declares is refused
                     if len(content) > size:
-                        raise ArchiveTooLarge(name)
+                        raise ImportTooLarge(name)
                 yield self.row(ord_, path, size, content)
 
 
