@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeweft.llm._common import BROADCAST_BYTES, LAST_ID, bounded_batches, documents, id_key, text_of, written
+from codeweft.llm._common import BROADCAST_BYTES, LAST_ID, bounded_batches, documents, id_key, small, text_of, written
 from codeweft.llm._rolling import WORD_BASES, Words, mixed, rolling, signed, slices
 from codeweft.llm.components import connected
 
@@ -171,7 +171,10 @@ def _candidates(classes: DataFrame, percent: int) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, percent: int = PERCENT) -> DataFrame:
-    """One row for each row of docs: _key (its id, LAST_ID for null), _mark (text hash), n_shingles, root (smallest _key reachable)."""
+    """One row for each row of docs: _key (its id, LAST_ID for null), _mark (text hash), n_shingles, root (smallest _key reachable), root_mark.
+
+    root and root_mark are the least (_key, _mark) of the row's component, and so name one text of that component
+    even where ids repeat or are null."""
     bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     rows = docs.select(id_key(id_col).alias("key"), F.xxhash64(text_of(text_col)).alias("mark"), text_of(text_col).alias("text"))
@@ -194,27 +197,26 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     work = work.select("root", "lo", "hi", "cid", "packed").repartition(n, "root", "lo", "hi").sortWithinPartitions("root", "lo", "hi", "cid")
     found = connected(work.mapInArrow(_multiply(percent), "a long, b long"))
-    roots = classes.select("cid", "rep.key").join(found, found.node == classes.cid).select("cid", F.coalesce("root", "cid").alias("root"), "key")
-    least = roots.groupBy("root").agg(F.min("key").alias("least"))
+    roots = classes.select("cid", "rep").join(found, found.node == classes.cid).select("cid", F.coalesce("root", "cid").alias("root"), "rep")
+    least = roots.groupBy("root").agg(F.min("rep").alias("least"))
     of = roots.join(least, "root").select("cid", "least")
-    alone = classes.select("cid", F.col("rep.key").alias("own"))
+    alone = classes.select("cid", F.col("rep").alias("own"))
     out = made.select("key", "mark", "n", "cid").join(alone, "cid", "left").join(of, "cid", "left")
-    root = F.when(F.col("n") > 0, F.coalesce("least", "own")).otherwise(F.col("key"))
-    return out.select(F.col("key").alias("_key"), F.col("mark").alias("_mark"), F.col("n").alias("n_shingles"), root.alias("root"))
+    root = F.when(F.col("n") > 0, F.coalesce("least", "own")).otherwise(F.struct("key", "mark"))
+    return out.select(F.col("key").alias("_key"), F.col("mark").alias("_mark"), F.col("n").alias("n_shingles"), root.getField("key").alias("root"), root.getField("mark").alias("root_mark"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay: of each component the one with the smallest id, and all without shingles.
-    Of rows that share that id and text all but one go too."""
+    """The rows of docs that stay: of each component the one with the smallest id (ties by text hash), and all without
+    shingles. Of rows that share that id and text all but one go too. Rows of other components stay, whatever their ids."""
     found = written(jaccard_components(docs, id_col, text_col).where("n_shingles > 0"), "components")
-    gone = found.where("_key <> root").select("_key", "_mark").distinct()
-    again = found.where("_key = root").groupBy("_key").agg(F.min("_mark").alias("_keep"), F.count("*").alias("_n")).where("_n > 1")
+    stays = (F.col("_key") == F.col("root")) & (F.col("_mark") == F.col("root_mark"))
+    gone = found.where(~stays).select("_key", "_mark").distinct()
+    again = found.where(stays).groupBy("_key", "_mark").agg(F.count("*").alias("_n")).where("_n > 1")
     rows = docs.select(F.struct("*").alias("_row"), id_key(id_col).alias("_key"), F.xxhash64(text_of(text_col)).alias("_mark"))
-    light = gone.count() * 64 <= BROADCAST_BYTES
-    rows = rows.join(F.broadcast(gone) if light else gone, ["_key", "_mark"], "left_anti")
-    rows = rows.join(again.select("_key", "_keep"), "_key", "left") if not light else rows.join(F.broadcast(again.select("_key", "_keep")), "_key", "left")
-    once = rows.where("_keep is null").select("_row")
-    many = rows.where("_keep = _mark").groupBy("_key", "_mark").agg(F.first("_row").alias("_row")).select("_row")
+    rows = rows.join(small(gone, 64), ["_key", "_mark"], "left_anti").join(small(again, 64), ["_key", "_mark"], "left")
+    once = rows.where("_n is null").select("_row")
+    many = rows.where("_n is not null").groupBy("_key", "_mark").agg(F.first("_row").alias("_row")).select("_row")
     return once.union(many).select("_row.*")
 
 

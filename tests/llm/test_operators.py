@@ -73,6 +73,25 @@ def test_jaccard(docs, empty):
     assert ngram_join.drop_near_duplicates(docs).columns == docs.columns
 
 
+def test_near_duplicates_keep_one_row_of_each_component(spark, empty):
+    text = lambda k: " ".join(f"{k}y{i}" for i in range(60))
+    apart = [(None, text("a")), (None, text("b")), (None, ""), (None, None), (None, " "), (3, text("c")), (3, text("d")), (3, ""), (3, ""), (7, "three more words")]
+    groups = [
+        [(None, text("e")), (None, text("e") + " end")], [(None, text("f")), (None, text("f"))], [(5, text("g")), (5, text("g"))],
+        [(3, text("h")), (3, text("h") + " end"), (None, text("h").upper())], [(9, text("i")), (8, "head " + text("i")), (8, "head " + text("i"))],
+    ]
+    rows = apart + [r for g in groups for r in g]
+    got = [tuple(r) for r in ngram_join.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    left = list(got)
+    for r in apart:
+        left.remove(r)
+    for g in groups:
+        (kept,) = [r for r in left if r in g]
+        assert key(kept[0]) == min(key(i) for i, _ in g)
+        left.remove(kept)
+    assert not left and ngram_join.drop_near_duplicates(empty).count() == 0
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.lists(st.sets(st.integers(0, 30), min_size=1), min_size=2, max_size=12))
 def test_links_connect_like_all_pairs(sets):
