@@ -7,18 +7,39 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_made: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir, or one of our own where none is named."""
+    """The folder named by spark.checkpoint.dir, which driver and executors share. Only a local session, whose
+    executors run in the driver, gets one of its own where none is named; a cluster must name it."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = f"file://{tempfile.mkdtemp(prefix='codeweft-')}"
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    path = f"{shared_dir(spark)}/codeweft/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, computed once."""
-    path = f"{shared_dir(df.sparkSession)}/codeweft/{name}-{uuid.uuid4().hex}"
+    """df as a Parquet table in the shared folder: computed once, and cut off from its lineage."""
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> int:
+    """Remove the tables that this process has written, through Spark's own file systems; returns how many were there.
+    For the end of a job: results that still read these tables can't be read afterwards."""
+    gone, conf = 0, spark._jsc.hadoopConfiguration()
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        gone += bool(path.getFileSystem(conf).delete(path, True))
+    return gone
