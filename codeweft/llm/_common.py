@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from codeweft.sources.tables import new_path, written
+
 #: A table is broadcast only when its measured size stays below this; larger ones are joined by shuffle.
 BROADCAST_BYTES = 64 << 20
 LAST_ID = (1 << 63) - 1
@@ -19,33 +18,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. One of our own is set only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        named = f"file://{tempfile.mkdtemp(prefix='codeweft-')}"
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
 def bounded_batches(spark: SparkSession) -> None:
-    """Bound Arrow batches by rows and bytes: texts may be long, and a default batch has 10,000 of them."""
+    """Bound Arrow batches by rows and bytes: texts may be long, and a default batch has 10,000 of them.
+    Plans are run after a function has returned, so the session keeps the setting; it changes no result."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/codeweft/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: computed once, and cut off from its lineage."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """df marked for broadcast if its counted rows stay within limit bytes, else as it is (a shuffle join)."""
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
@@ -60,6 +39,25 @@ def text_of(text_col: str = "text") -> Column:
     return F.coalesce(F.col(text_col), F.lit(""))
 
 
+#: A range of ids holds about so many characters of text, and there are at most MAX_RANGES of them.
+RANGE_CHARS, MAX_RANGES = 8 << 20, 20_000
+
+
+def id_marks(rows: DataFrame, key: str, text: str) -> list[int]:
+    """Ascending keys that deal rows to len + 1 ranges of like numbers of rows. A key that fills several ranges is
+    repeated: its rows are dealt among these by their text's hash (see in_range)."""
+    chars = rows.agg(F.sum(F.length(text))).first()[0] or 0
+    n = min(MAX_RANGES, chars // RANGE_CHARS + 1)
+    if n < 2:
+        return []
+    return rows.agg(F.percentile_approx(key, [k / n for k in range(1, n)], 20 * n)).first()[0] or []
+
+
+def tie_of(text: str) -> Column:
+    """Orders rows with equal keys: 63 bits of the text's hash."""
+    return F.shiftrightunsigned(F.xxhash64(text), 1)
+
+
 def ranked(df: DataFrame, name: str, by: str) -> DataFrame:
     """df with `name`: 0-based rank by `by` (nulls last), without one task that sees all rows.
 

@@ -6,8 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
-BYTE_BASE = 0x9E3779B97F4A7C15
 WORD_BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 SLICE_BYTES = 1 << 18
 _SPACE = np.zeros(256, dtype=bool)
@@ -39,7 +39,8 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 def rolling(values: np.ndarray, k: int, base: int) -> np.ndarray:
-    """Rabin-Karp hash of every k consecutive values (modulo 2 ** 64, then mixed)."""
+    """Rabin-Karp hash of every k consecutive values (modulo 2 ** 64, then mixed). Values must be spread over
+    all 64 bits: of small or related values, products of powers of two could cancel."""
     n = len(values) - k + 1
     if n <= 0:
         return np.zeros(0, dtype=_U)
@@ -48,12 +49,24 @@ def rolling(values: np.ndarray, k: int, base: int) -> np.ndarray:
     return mixed((sums[k:] - sums[:-k]) * powers(pow(base, -1, 1 << 64), n))
 
 
+def numbered(body: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """The number of each string body[cuts[i]:cuts[i + 1]] among the distinct ones, and these."""
+    strings = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(np.ascontiguousarray(cuts, dtype=np.int64)), pa.py_buffer(np.ascontiguousarray(body))])
+    coded = strings.dictionary_encode()
+    return coded.indices.to_numpy(), coded.dictionary.to_pylist()
+
+
+def byte_hashes(strings: list[bytes]) -> np.ndarray:
+    """Two independent 64-bit hashes of each string's bytes, as rows."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, strings)), dtype="<u8").reshape(-1, 2)
+
+
 class Words:
     """The words of some whole texts. first[i]:first[i + 1] are those of text i."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False):
         self.data, self.offsets = (_LOWER[data] if lower else data), offsets
-        inside = ~_SPACE[data]
+        self.inside = inside = ~_SPACE[data]
         before = np.zeros(len(data), dtype=bool)
         after = np.zeros(len(data), dtype=bool)
         if len(data):
@@ -66,12 +79,15 @@ class Words:
         self.ends = np.flatnonzero(inside & ~after) + 1
         self.first = np.searchsorted(self.starts, offsets)
 
-    def hashes(self) -> np.ndarray:
-        """64 bits for each word: a polynomial of its bytes, mixed with its length."""
-        sums = np.zeros(len(self.data) + 1, dtype=_U)
-        np.cumsum((self.data.astype(_U) + _U(1)) * powers(BYTE_BASE, len(self.data)), out=sums[1:])
-        h = (sums[self.ends] - sums[self.starts]) * powers(pow(BYTE_BASE, -1, 1 << 64), len(self.data) + 1)[self.starts]
-        return mixed(h + (self.ends - self.starts).astype(_U) * _U(BYTE_BASE))
+    def numbers(self) -> tuple[np.ndarray, list[bytes]]:
+        """The number of each word among the distinct ones, and these."""
+        return numbered(self.data[self.inside], np.concatenate([[0], np.cumsum(self.ends - self.starts)]))
+
+    def hashes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Two independent 64-bit hashes of each word, over its bytes."""
+        which, words = self.numbers()
+        pairs = byte_hashes(words)
+        return pairs[which, 0], pairs[which, 1]
 
 
 def slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -93,5 +109,11 @@ def slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Iter
         i = j
 
 
+def gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """flat[starts[k] : starts[k] + sizes[k]] for all k, one after the other."""
+    to = np.cumsum(sizes)
+    return flat[np.arange(to[-1] if len(to) else 0) + np.repeat(starts - (to - sizes), sizes)]
+
+
 def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)

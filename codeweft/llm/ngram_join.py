@@ -3,7 +3,8 @@
 Documents link when 100 * |A & B| >= 80 * |A | B| for their sets of distinct five-word shingles (words
 lower-cased A-Z; fewer words: the whole sequence). The join is exact:
 
-1. Rows with equal sets form one class, known by a 64-bit sum over its shingles; only classes go on.
+1. Rows with equal sets form one class, known by its size and 128 bits, two sums over its shingles' hashes; only
+   classes go on, each under a number of its own. Words are hashed by their bytes, shingles by 64 bits.
 2. A set's shingles are ordered by (how common, hash). Two sets that link share one of their first
    p = n - ceil(0.8 n) + 1. Commonness comes from counting all shingles of all documents into a table of
    fixed size; any order is exact, this one keeps common shingles out of the first p.
@@ -33,12 +34,14 @@ from codeweft.llm._rolling import WORD_BASES, Words, mixed, rolling, signed, sli
 from codeweft.llm.components import connected
 
 RUN, PERCENT, BLOCK, GROUP_SHINGLES, SLOTS = 5, 80, 64, 4_000_000, 1 << 22
+#: Told apart from the first sum of a set's hashes.
+SECOND = 0x5851F42D4C957F2D
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, run: int = RUN) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     words = Words(data, offsets, lower=True)
-    hashes = words.hashes()
+    hashes, _ = words.hashes()
     every = rolling(hashes, run, WORD_BASES[0])
     for a, b in zip(words.first[:-1], words.first[1:], strict=True):
         if b - a >= run:
@@ -79,16 +82,17 @@ def _prefixes(levels, run: int, percent: int):
         level = levels.value
         for batch in batches:
             for i, j, data, offsets in slices(batch.column(2)):
-                n, ids, lists = [], [], []
+                n, ids, more, lists = [], [], [], []
                 for own in shingle_sets(data, offsets, run):
                     n.append(len(own))
                     ids.append(np.uint64(np.add.reduce(mixed(own + np.uint64(len(own))))))
+                    more.append(np.uint64(np.add.reduce(mixed(own ^ np.uint64(SECOND)))))
                     first = len(own) - -(-percent * len(own) // 100) + 1 if len(own) else 0
                     order = np.lexsort((own, level[(own & np.uint64(SLOTS - 1)).astype(np.int64)]))[:first]
                     lists.append(own[order])
                 ends = np.r_[0, np.cumsum([len(x) for x in lists])].astype(np.int32)
                 flat = pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(np.concatenate(lists))))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(n, pa.int64()), pa.array(signed(np.array(ids, dtype=np.uint64))), flat], ["key", "mark", "n", "cid", "prefix"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(n, pa.int64()), pa.array(signed(np.array(ids, dtype=np.uint64))), pa.array(signed(np.array(more, dtype=np.uint64))), flat], ["key", "mark", "n", "sum1", "sum2", "prefix"])
 
     return run_
 
@@ -179,9 +183,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     rows = docs.select(id_key(id_col).alias("key"), F.xxhash64(text_of(text_col)).alias("mark"), text_of(text_col).alias("text"))
     levels = spark.sparkContext.broadcast(commonness(rows, run))
-    made = written(rows.mapInArrow(_prefixes(levels, run, percent), "key long, mark long, n long, cid long, prefix array<long>"), "prefixes")
-    full = made.where("n > 0")
-    classes = written(full.groupBy("cid").agg(F.first("n").alias("n"), F.min(F.struct("key", "mark")).alias("rep"), F.first("prefix").alias("prefix")), "classes")
+    made = written(rows.mapInArrow(_prefixes(levels, run, percent), "key long, mark long, n long, sum1 long, sum2 long, prefix array<long>"), "prefixes")
+    classes = made.where("n > 0").groupBy("sum1", "sum2", "n").agg(F.min(F.struct("key", "mark")).alias("rep"), F.first("prefix").alias("prefix"))
+    classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     groups = connected(_candidates(classes.select("cid", "n", "prefix"), percent))
     member = classes.select("cid", "n", "rep").join(groups, groups.node == classes.cid).drop("node")
     chunks = F.ceil(F.sum("n") / GROUP_SHINGLES).cast("int").alias("chunks")
@@ -200,9 +204,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     roots = classes.select("cid", "rep").join(found, found.node == classes.cid).select("cid", F.coalesce("root", "cid").alias("root"), "rep")
     least = roots.groupBy("root").agg(F.min("rep").alias("least"))
     of = roots.join(least, "root").select("cid", "least")
-    alone = classes.select("cid", F.col("rep").alias("own"))
-    out = made.select("key", "mark", "n", "cid").join(alone, "cid", "left").join(of, "cid", "left")
-    root = F.when(F.col("n") > 0, F.coalesce("least", "own")).otherwise(F.struct("key", "mark"))
+    alone = classes.join(of, "cid", "left").select("sum1", "sum2", "n", F.coalesce("least", "rep").alias("least"))
+    out = made.select("key", "mark", "n", "sum1", "sum2").join(alone, ["sum1", "sum2", "n"], "left")
+    root = F.when(F.col("n") > 0, F.col("least")).otherwise(F.struct("key", "mark"))
     return out.select(F.col("key").alias("_key"), F.col("mark").alias("_mark"), F.col("n").alias("n_shingles"), root.getField("key").alias("root"), root.getField("mark").alias("root_mark"))
 
 

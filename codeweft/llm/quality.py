@@ -5,7 +5,8 @@ form; a hidden layer, gated attention over the passages (softmax of w . (tanh(V
 logistic output on the attention-weighted mean are learned together from document labels by Adam.
 
 Labels come from rows whose crc32(id as text) modulo FOLDS is not 0, at most SAMPLE of them (the least by
-a hash of the id); only their passages' statistics reach the driver. Scores use the text alone, over all
+a hash of the id) and of these, in that order, as many as have PASSAGES passages together at most; only their
+passages' statistics reach the driver. Scores use the text alone, over all
 passages of every whole text. A null or empty text is a bag with one empty passage. Labels that are null
 do not count; of several for one id the least does. Without any label every score is 0.5. Repeated rows
 get equal scores; an empty table gives an empty table.
@@ -17,13 +18,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from codeweft.llm._common import bounded_batches, documents, text_of
+from codeweft.llm._common import WORD, bounded_batches, documents, text_of
 from codeweft.llm._rolling import Words, slices
 
-PASSAGE, FOLDS, SAMPLE, THRESHOLD, SEED = 64, 5, 4000, 0.3, 5
+PASSAGE, FOLDS, SAMPLE, PASSAGES, THRESHOLD, SEED = 64, 5, 4000, 200_000, 0.3, 5
 HIDDEN, GATE, ROUNDS, RATE = 12, 8, 250, 0.02
 _CLASSES = np.zeros((4, 256), dtype=np.int32)
 _CLASSES[0, 65:91] = 1  # capitals
@@ -36,7 +37,7 @@ FEATURES = 13
 def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(passages x FEATURES, text of each passage) for some whole texts; each text has one passage at least."""
     words, n = Words(data, offsets), len(offsets) - 1
-    hashes, count = words.hashes(), np.diff(words.first)
+    (hashes, _), count = words.numbers(), np.diff(words.first)
     bags = np.maximum(1, -(-count // PASSAGE))
     of = np.repeat(np.arange(n), bags)
     x = np.zeros((len(of), FEATURES))
@@ -138,15 +139,20 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), flat], ["y", "x"])
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Mil | None:
-    """Fit on at most `sample` labelled rows that are not held out."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, most: int = PASSAGES) -> Mil | None:
+    """Fit on at most `sample` labelled rows with `most` passages that are not held out."""
     bounded_batches(docs.sparkSession)
-    own = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).cast("double").alias("y"))
-    own = own.orderBy(F.xxhash64("_id", F.lit(SEED)), "_id").limit(sample)
-    rows = docs.join(F.broadcast(own), F.col(id_col) == F.col("_id")).select("_id", "y", text_of(text_col).alias("text")).groupBy("_id").agg(F.min(F.struct("text", "y")).alias("r"))
-    got = rows.select("r.y", "r.text").mapInArrow(_encode, "y double, x array<double>").orderBy("y", "x").collect()
+    own = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("double").alias("y"))
+    own = own.select("id", "y", F.xxhash64("id", F.lit(SEED)).alias("draw")).orderBy("draw", "id").limit(sample)
+    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).join(F.broadcast(own), "id").groupBy("draw", "id").agg(F.min(F.struct("text", "y")).alias("r"))
+    size = F.ceil(F.greatest(F.lit(1), F.regexp_count(F.col("r.text"), F.lit(WORD))) / PASSAGE)
+    rows = rows.select("draw", "id", "r", size.alias("size"))
+    # one row for each of at most `sample` documents
+    fits = rows.withColumn("to", F.sum("size").over(Window.orderBy("draw", "id"))).where(F.col("to") <= most)
+    got = fits.select("r.y", "r.text").mapInArrow(_encode, "y double, x array<double>").collect()
     if not got:
         return None
+    got = sorted(got, key=lambda r: (r.y, r.x))
     x = [np.array(r.x).reshape(-1, FEATURES) for r in got]
     return Mil.start().fit(np.concatenate(x), np.repeat(np.arange(len(x)), [len(b) for b in x]), np.array([r.y for r in got]))
 

@@ -6,7 +6,8 @@ on the input. The windows to remove are merged into maximal intervals, and the k
 Most windows occur once. To shuffle only the others, each window picks an anchor: the smallest hash of
 the ANCHOR-word runs inside it. Equal windows pick equal anchors, so a window whose anchor is found in
 one document only has no equal elsewhere. Anchors (about one for 13 words) are counted first; then every
-window with a shared anchor is counted by a hash of 128 bits.
+window with a shared anchor is counted by two independent hashes, of 64 and 32 bits: Rabin-Karp over two
+independent 64-bit hashes of each word's bytes.
 
 Null and empty texts have no words; texts shorter than a window keep all. Null ids come after all
 others. Rows with equal ids are not smaller than each other, and each is judged by its own text; rows
@@ -39,7 +40,7 @@ def _slid_min(h: np.ndarray, k: int) -> np.ndarray:
 
 
 def _anchors(hashes: np.ndarray, window: int, anchor: int) -> np.ndarray:
-    """The anchor of each window of one document."""
+    """The anchor of each window of one document, from its words' second hashes."""
     return _slid_min(rolling(hashes, anchor, WORD_BASES[1]), window - anchor + 1)
 
 
@@ -49,7 +50,7 @@ def _anchor_rows(window: int, anchor: int):
             keys, marks = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for i, j, data, offsets in slices(batch.column(2)):
                 words = Words(data, offsets)
-                hashes, out, rows = words.hashes(), [], []
+                (_, hashes), out, rows = words.hashes(), [], []
                 for r in range(j - i):
                     own = hashes[words.first[r] : words.first[r + 1]]
                     if len(own) >= window:
@@ -68,18 +69,18 @@ def _window_rows(window: int, anchor: int):
             keys, marks, lists = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3)
             for i, j, data, offsets in slices(batch.column(2)):
                 words = Words(data, offsets)
-                hashes, out = words.hashes(), []
+                (first, second), out = words.hashes(), []
                 for r in range(j - i):
-                    own = hashes[words.first[r] : words.first[r + 1]]
+                    own = second[words.first[r] : words.first[r + 1]]
                     if len(own) < window:
                         continue
                     shared = np.asarray(lists[i + r].values, dtype=np.int64).view(np.uint64)
                     at = np.flatnonzero(np.isin(_anchors(own, window, anchor), shared))
                     if len(at):
-                        out.append((rolling(own, window, WORD_BASES[0])[at], rolling(own, window, WORD_BASES[1])[at], np.full(len(at), i + r), at))
+                        out.append((rolling(first[words.first[r] : words.first[r + 1]], window, WORD_BASES[0])[at], rolling(own, window, WORD_BASES[1])[at], np.full(len(at), i + r), at))
                 if out:
                     h1, h2, rows, at = map(np.concatenate, zip(*out, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(h1)), pa.array(signed(h2)), pa.array(keys[rows]), pa.array(marks[rows]), pa.array(at.astype(np.int32))], ["h1", "h2", "key", "mark", "at"])
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(h1)), pa.array((h2 >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(keys[rows]), pa.array(marks[rows]), pa.array(at.astype(np.int32))], ["h1", "h2", "key", "mark", "at"])
 
     return run
 
@@ -98,7 +99,7 @@ def repeated_windows(rows: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
     lists = written(anchors.join(shared, "anchor").groupBy("key", "mark").agg(F.collect_set("anchor").alias("anchors")), "shared-anchors")
     near = _is_in(rows, lists.select("key", "mark"), True)
     near = (rows if near is None else near).dropDuplicates(["key", "mark"]).join(lists, ["key", "mark"])
-    found = near.select("key", "mark", "text", "anchors").mapInArrow(_window_rows(window, anchor), "h1 long, h2 long, key long, mark long, at int")
+    found = near.select("key", "mark", "text", "anchors").mapInArrow(_window_rows(window, anchor), "h1 long, h2 int, key long, mark long, at int")
     found = written(found, "windows")
     first = found.groupBy("h1", "h2").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select("h1", "h2", "lo")
     return found.join(first, ["h1", "h2"]).where("key > lo").groupBy("key", "mark").agg(F.array_sort(F.collect_set("at")).alias("starts"))
@@ -151,7 +152,9 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     exclusive) and, on request, the kept words."""
     bounded_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
-    rows = docs.select(id_key(id_col).alias("key"), F.xxhash64(text_of(text_col)).alias("mark"), text_of(text_col).alias("text"), F.col(id_col).alias("id"))
+    repeated = docs.groupBy(id_key(id_col).alias("key")).count().where("count > 1").limit(1).count()
+    mark = F.xxhash64(text_of(text_col)) if repeated else F.lit(0).cast("long")  # tells rows with one id apart
+    rows = docs.select(id_key(id_col).alias("key"), mark.alias("mark"), text_of(text_col).alias("text"), F.col(id_col).alias("id"))
     starts = written(repeated_windows(rows.select("key", "mark", "text"), window, anchor), "starts")
     schema = f"id {kind}, n_words long, n_removed long, kept_sha256 string, intervals array<struct<begin: long, end: long>>" + ", kept string" * with_text
     ids = starts.select("key", "mark")

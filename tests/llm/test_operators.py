@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from codeweft.llm import exact_dedup, fingerprints, licenses, mixing, ngram_join, packed_ids, piece_lattice, quality, secrets, substring_dedup
+from codeweft.llm import exact_dedup, fingerprints, licenses, mixing, ngram_join, packed_ids, quality, secrets, substring_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LONG = " ".join(f"w{i % 97}x{i}" for i in range(300))
@@ -200,25 +200,6 @@ def test_license_automata():
     assert licenses.scan_text("CC BY-NC, cc by nc")[:2] == (6, [0, 3])
 
 
-def test_pieces(docs, empty):
-    sentencepiece = pytest.importorskip("sentencepiece")
-    model = piece_lattice.model_file()
-    library = sentencepiece.SentencePieceProcessor(model_proto=model)
-    coded = piece_lattice.decode(piece_lattice.encode(docs, model), model)
-    for r in coded.collect():
-        assert r.piece_ids == library.encode(r.text or "") and r.decoded == (r.text or "")
-    assert piece_lattice.encode(empty, model).count() == 0
-
-
-def test_relational_lattice(spark):
-    pieces = [("a", -1.0), ("b", -1.5), ("ab", -2.0), ("abc", -2.2), ("c", -1.0), ("bc", -1.2)]
-    table = spark.createDataFrame([(p, i, s) for i, (p, s) in enumerate(pieces)], "piece string, piece_id int, score double")
-    own = piece_lattice.Lattice([(p, s, 1) for p, s in pieces], False)
-    words = sorted(["abc", "abcab", "ccab", "bxa", "a"])
-    got = {r.word: r.path for r in piece_lattice.lattice(spark.createDataFrame([(w,) for w in words], "word string"), table).collect()}
-    assert got == dict(zip(words, own.paths(words), strict=True))
-
-
 def test_quality(docs, empty, spark):
     r = np.random.default_rng(0)
     word = lambda: "".join(r.choice(list("abcdefgh"), 5))
@@ -246,19 +227,52 @@ def test_bit_packing(bits, ids):
         assert (packed_ids.unpack(data, bits, start, len(ids) - start) == ids[start:]).all()
 
 
-def test_packed_files(docs, empty, spark):
-    tokenizers = pytest.importorskip("tokenizers")
-    from codeweft.llm._common import new_path
-
-    vocabulary = packed_ids.vocabulary_file()
-    t = tokenizers.Tokenizer.from_str(vocabulary)
-    path = new_path(spark, "packed-test")
-    packed_ids.write_packed(docs, path, vocabulary)
-    got = sorted(packed_ids.read_packed(spark, path).collect(), key=lambda r: r.start)
-    at = 0
-    for r, (i, text, _) in zip(got, sorted(TEXTS, key=lambda x: key(x[0])), strict=True):
-        ids = [*t.encode(text or "", add_special_tokens=False).ids, 2]
-        assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (i, at, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes()))
-        at += len(ids)
-    path = new_path(spark, "packed-empty")
-    packed_ids.write_packed(empty, path, vocabulary)
+def morse(n):
+    """The Thue-Morse word of 2 ** n letters and its complement, which collide under a polynomial hash modulo 2 ** 64."""
+    word = [0]
+    for _ in range(n):
+        word += [1 - x for x in word]
+    return "".join("ab"[x] for x in word), "".join("ba"[x] for x in word)
+
+
+def test_words_that_collide_under_polynomials(spark):
+    a, b = morse(11)
+    rest = [f"w{i}" for i in range(60)]
+    lists = [[a if i % 3 else x for i, x in enumerate(rest)], [b if i % 3 else x + "y" for i, x in enumerate(rest)]]
+    lists[0][:50], lists[1][:50] = [a, "k"] * 25, [b, "k"] * 25
+    docs = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(lists)] + [(5, " ".join([a] * 9)), (6, " ".join([b] * 9))], "doc_id long, text string")
+    assert [r.n_removed for r in substring_dedup.remove_repeated(docs).collect()] == [0] * 4
+    assert sorted(r.root for r in ngram_join.jaccard_components(docs).collect()) == [0, 1, 5, 6]
+
+
+def test_training_with_clashing_columns_nulls_and_conflicts(spark):
+    rows = [(k, ("Good plain words of prose. " if k % 2 else "BUY!! $$$ 1234 ### ") * (k % 9 + 1), "clash", 0.5) for k in range(60)] + [(None, "x", "clash", 0.1), (60, None, "clash", 0.1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id string, y double")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)] + [(1, 0), (2, None), (None, 1), (99, 1)], "doc_id long, quality int")
+    model = quality.train(docs, labels)
+    got = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    assert len(got) == 62 and sum((got[k] > 0.5) == (k % 2) for k in range(60)) > 50
+    assert quality.train(docs, labels.where("false")) is None and quality.train(docs, labels, most=0) is None
+    few = quality.train(docs, labels, most=5)
+    assert few is not None and quality.keep_good(docs, few).columns == docs.columns
+
+
+def test_attention_gradient():
+    """Analytic gradients against differences: one step of a fit moves each weight against its numeric gradient."""
+    r = np.random.default_rng(1)
+    x, of, y = r.normal(size=(9, quality.FEATURES)), np.array([0, 0, 1, 1, 1, 2, 3, 3, 3]), np.array([0.0, 1, 1, 0])
+    loss = lambda m: -np.mean(y * np.log(m.score(x, of, 4)) + (1 - y) * np.log(1 - m.score(x, of, 4)))
+    start = quality.Mil.start()
+    start.p["m"], start.p["s"] = x.mean(axis=0), x.std(axis=0) + 1e-3
+    before = {k: v.copy() for k, v in start.p.items()}
+    after = quality.Mil.start().fit(x, of, y, rounds=1, rate=1e-3, decay=0.0).p
+    for k in "WVUwo":
+        at = np.unravel_index(np.abs(after[k] - before[k]).argmax(), before[k].shape)
+        slope = []
+        for step in (1e-5, -1e-5):
+            p = {n: v.copy() for n, v in before.items()}
+            p[k][at] += step
+            slope.append(loss(quality.Mil(p)))
+        assert np.sign(slope[0] - slope[1]) == -np.sign(after[k][at] - before[k][at])
+    t = start.forward(x, of, 4)
+    assert np.allclose(np.bincount(of, weights=t["a"]), 1)
