@@ -1,43 +1,44 @@
-"""SentencePiece encoding and decoding over a lattice of pieces.
-
-Two forms with the same edges and the same best paths:
-
-`lattice(words, pieces)` is relational: explode the bounded-length substrings of distinct words, equi-join
-them to the piece table, group the edges by word, and fold the best path with Spark's aggregate(). It
-wants words as keys; carrying every occurrence of every word to it and back would shuffle several times the
-corpus. `encode()` therefore builds the same lattice for the distinct words of each Arrow batch inside the
-scan (substrings, lookup in the piece table, edges by word, fold), and moves no text.
-
-The model's kind decides the path. Unigram models: the path with the largest sum of scores, ties to the
-longer last piece. BPE models: a path's neighbouring pieces must be ones that BPE would keep apart, i.e. the
-merges of the two pieces' characters give just these two pieces. That transition leaves exactly one last
-piece for each prefix, so the fold yields what merging by rank yields, and the ids are the library's.
-
-Characters without a piece fall back to byte pieces. Decoding joins pieces and bytes, and takes back the
-leading blank; only the blank's own sign U+2581 in a text comes back as a blank. Null counts as empty; an empty text has no ids. Texts of any length are cut at blanks, where no
-piece has a blank inside. Repeated rows are encoded alike; an empty table gives an empty table.
+"""SentencePiece encoding and decoding over a relational lattice of pieces.
+
+Texts are cut between two characters that no piece has side by side (so before blanks, around digits, and around
+characters without a piece): no piece crosses such a cut, so a text's ids are those of its units in a row. Each
+distinct unit of the corpus is encoded once, relationally:
+
+1. units: the distinct units with their counts (listed batch by batch, grouped by Spark).
+2. edges: explode a unit's substrings, as long as the longest piece at most, and equi-join them to the piece table
+   (broadcast: as long as the vocabulary). Characters without a piece become byte pieces.
+3. group the edges by unit. Units are already dealt by unit, so this moves nothing.
+4. fold each unit's edges with Spark's aggregate(). Unigram models: Viterbi, the path with the largest sum of scores.
+   BPE models: the library's pieces are not those of the largest sum, so the fold takes, from all boundaries between
+   characters, again and again the edge with the best score (leftmost of equals) that spans two present neighbours, and
+   removes the boundary inside it, until none is left; the path is the edges between the boundaries that remain. Units
+   above FOLD_CHARS characters (boundaries are bits of a long) are folded by the same rule in a worker, in linear space.
+
+The ids of the most frequent units go back to the texts by a broadcast of at most TABLE_BYTES bytes, whatever the
+corpus. Where that does not hold all units, the ids of the others, which are rare, are joined by unit and grouped by
+row, and texts are joined to them by row.
+
+Decoding joins pieces and bytes, and takes back the leading blank; only the blank's own sign U+2581 in a text comes
+back as a blank. Null counts as empty; an empty text has no ids. Repeated rows are encoded alike; an empty table gives
+an empty table.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeweft.llm._chunks import text_runs
-from codeweft.llm._common import bounded_batches, documents, text_of
+from codeweft.llm._common import bounded_batches, documents, text_of, written
+from codeweft.llm._rolling import byte_hashes, gathered, numbered, slices
 
 BLANK = "▁"
-#: Words that a worker keeps, and as many pairs of pieces: the first it meets, as the frequent ones come early.
-#: A word takes about 220 bytes, a pair 90; more of them cost memory and save time, the ids are the same.
-CACHE_WORDS = 100_000
-_WORD = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
+#: Bytes of the table of units that is broadcast, longest unit of the native fold, bytes of text handled at once.
+TABLE_BYTES, FOLD_CHARS, RUN_BYTES = 128 << 20, 60, 2 << 20
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -75,199 +76,303 @@ def read_model(data: bytes) -> tuple[list[tuple[str, float, int]], bool]:
     return pieces, bpe
 
 
-class Lattice:
-    """Encodes words; keeps what it has found for the words and pairs of a worker process."""
+class Pieces:
+    """A model's pieces, and the cuts that no piece crosses."""
 
-    def __init__(self, pieces: list[tuple[str, float, int]], bpe: bool, cache: int = CACHE_WORDS):
-        self.bpe, self.cache = bpe, cache
-        self.id_of = {p: k for k, (p, _, kind) in enumerate(pieces) if kind in (1, 4)}
-        self.score = [s for _, s, _ in pieces]
+    def __init__(self, pieces: list[tuple[str, float, int]], bpe: bool):
+        self.bpe = bpe
+        self.rows = [(p, k, s) for k, (p, s, kind) in enumerate(pieces) if kind in (1, 4)]
+        self.id_of, self.score = {p: k for p, k, _ in self.rows}, [s for _, s, _ in pieces]
         self.bytes = {int(p[3:5], 16): k for k, (p, _, kind) in enumerate(pieces) if kind == 6}
         self.unknown = next((k for k, (_, _, kind) in enumerate(pieces) if kind == 2), 0)
-        self.longest = max(map(len, self.id_of), default=1)
-        self.tails = {p[k:]: -1 for p in self.id_of for k in range(len(p))} | self.id_of if bpe else {}
-        self.pieces = pieces
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.parts = [bytes([int(p[3:5], 16)]) if kind == 6 else p.encode() if kind in (1, 4) else b"" for p, _, kind in pieces]
-        self.pairs: dict[int, bool] = {}
-
-    def merged(self, text: str) -> list[str]:
-        """The pieces that merging by score gives: best score first, leftmost of equals."""
-        parts, score, id_of = list(text), self.score, self.id_of
-        while len(parts) > 1:
-            best, at = None, -1
-            for k in range(len(parts) - 1):
-                i = id_of.get(parts[k] + parts[k + 1])
-                if i is not None and (best is None or score[i] > best):
-                    best, at = score[i], k
-            if at < 0:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
-
-    def apart(self, key: int, a: str, b: str) -> bool:
-        """Whether BPE keeps the neighbours a and b apart, and each of them whole. a is empty where b begins
-        the word; key stands for the two."""
-        same = self.merged(a + b) == ([a, b] if a else [b])
-        if len(self.pairs) < max(self.cache, 300_000):
-            self.pairs[key] = same
-        return same
-
-    def paths(self, words: list[str]) -> Iterator[list[str]]:
-        """The best path's pieces of each word: the fold over its ends. What it finds for a prefix holds for
-        every word that begins so; sorted words share most of their prefixes with the word before."""
-        id_of, score, pairs, longest, tails = self.id_of, self.score, self.pairs, self.longest, self.tails
-        floor = min(score, default=0.0) - 10.0
-        other, back, last, ends, best, before = len(score), [0], [""], [0], [0.0], ""
-        for word in words:
-            n = min(len(word), len(before))
-            same = next((k for k in range(n) if word[k] != before[k]), n)
-            del back[same + 1 :], last[same + 1 :], ends[same + 1 :], best[same + 1 :]
-            for e in range(same + 1, len(word) + 1):
-                top, found, piece_id = None, e - 1, 0
-                if self.bpe:  # one last piece fits, so the shortest is tried first, and none beyond a tail of pieces
-                    for s in range(e - 1, -1, -1):
-                        piece = word[s:e]
-                        i = tails.get(piece)
-                        if i is None or i < 0:
-                            if s == e - 1:
-                                i = other + ord(piece)  # a character without a piece
-                            elif i is None:
-                                break
-                            else:
-                                continue
-                        key = ends[s] << 21 | i
-                        apart = pairs.get(key)
-                        if apart or (apart is None and self.apart(key, last[s], piece)):
-                            found, piece_id = s, i + 1
-                            break
-                else:
-                    for s in range(e - longest if e > longest else 0, e):
-                        i = id_of.get(word[s:e])
-                        if i is not None or s == e - 1:
-                            sum_ = best[s] + (floor if i is None else score[i])
-                            if top is None or sum_ > top:
-                                top, found = sum_, s
-                back.append(found)
-                last.append(word[found:e])
-                ends.append(piece_id)
-                best.append(top or 0.0)
-            before, out, e = word, [], len(word)
+        self.longest = max((len(p) for p, _, _ in self.rows), default=1)
+        self.floor = min(self.score, default=0.0) - 10.0
+        parts = [bytes([int(p[3:5], 16)]) if kind == 6 else p.replace(BLANK, " ").encode() if kind in (1, 4) else b"" for p, _, kind in pieces]
+        self.part_bytes, self.part_sizes = np.frombuffer(b"".join(parts), np.uint8), np.array([len(p) for p in parts], np.int64)
+        self.part_starts = np.cumsum(self.part_sizes) - self.part_sizes
+        chars = sorted({c for p, _, _ in self.rows for c in p})
+        #: A number for each code point that some piece has, 0 for the others.
+        self.number = np.zeros(0x110000, np.int32)
+        self.number[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        self.beside = np.zeros((len(chars) + 1, len(chars) + 1), dtype=bool)
+        for p, _, _ in self.rows:
+            n = self.number[[ord(c) for c in p]]
+            self.beside[n[:-1], n[1:]] = True
+
+    def fallback(self, char: str) -> list[int]:
+        """Ids of a character without a piece."""
+        return [self.bytes[b] for b in char.encode()] if self.bytes else [self.unknown]
+
+    def units(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(bytes, cuts, first unit of each text and the end) of some whole texts, each led by a blank unless empty."""
+        size = np.diff(offsets)
+        lead = (size > 0).astype(np.int64)
+        begins = offsets[:-1] + np.cumsum(lead) - lead
+        text = np.insert(data, offsets[:-1][lead > 0], 32)
+        codes = np.frombuffer(text.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+        codes = np.where(codes == 32, np.uint32(ord(BLANK)), codes)
+        chars = np.concatenate([[0], np.cumsum((text & 0xC0) != 0x80)])[np.append(begins, len(text))]
+        n = self.number[codes]
+        cut = np.ones(len(codes) + 1, dtype=bool)
+        if len(codes):
+            cut[1:-1] = ~self.beside[n[:-1], n[1:]]
+        cut[chars] = True
+        at = np.flatnonzero(cut) if len(codes) else np.zeros(1, np.int64)
+        to = np.concatenate([[0], np.cumsum(1 + (codes > 0x7F).astype(np.int64) + (codes > 0x7FF) + (codes > 0xFFFF))])
+        return np.frombuffer(codes.tobytes().decode("utf-32-le").encode(), np.uint8), to[at], np.searchsorted(at, chars)
+
+    def path(self, unit: str) -> list[int]:
+        """The ids of a long unit: merges by a heap, or Viterbi. What the native folds do."""
+        if not self.bpe:
+            best, back = [0.0], [0]
+            for e in range(1, len(unit) + 1):
+                ends = [(best[s] + (self.score[i] if i is not None else self.floor), -s) for s in range(max(0, e - self.longest), e) for i in (self.id_of.get(unit[s:e]),) if i is not None or s == e - 1]
+                top, s = max(ends)
+                best.append(top)
+                back.append(-s)
+            cuts, e = [len(unit)], len(unit)
             while e:
-                out.append(word[back[e] : e])
                 e = back[e]
-            yield out[::-1]
-
-    def ids(self, path: list[str]) -> tuple[int, ...]:
-        out: list[int] = []
-        for p in path:
-            i = self.id_of.get(p)
-            out += [i] if i is not None else [self.bytes[b] for b in p.encode()] if self.bytes else [self.unknown]
-        return tuple(out)
-
-    def encode_all(self, texts: list[str]) -> list[list[int]]:
-        """The ids of each text; each word that is new is folded once."""
-        split = [_WORD.findall((BLANK + t).replace(" ", BLANK)) if t else [] for t in texts]
-        fresh = sorted({w for words in split for w in set(words) if w not in self.words})
-        found = dict(zip(fresh, map(self.ids, self.paths(fresh)), strict=True))
-        self.words.update(islice(found.items(), max(0, self.cache - len(self.words))))
-        of = self.words.__getitem__ if len(self.words) < self.cache else lambda w: self.words.get(w) or found[w]
-        return [list(chain.from_iterable(map(of, words))) for words in split]
-
-    def encode(self, text: str) -> list[int]:
-        return self.encode_all([text])[0]
-
-    def decode(self, ids: list[int]) -> str:
-        text = b"".join(map(self.parts.__getitem__, ids)).decode("utf-8", "replace").replace(BLANK, " ")
-        return text[1:] if text.startswith(" ") else text
-
-
-_lattices: dict[int, Lattice] = {}
-
-
-def _lattice(model: bytes, cache: int = CACHE_WORDS) -> Lattice:
+                cuts.append(e)
+            cuts.reverse()
+        else:
+            import heapq
+
+            follow, before, heap = list(range(1, len(unit) + 1)), list(range(-1, len(unit) - 1)), []
+
+            def offer(s: int) -> None:
+                if s >= 0 and follow[s] < len(unit):
+                    i = self.id_of.get(unit[s : follow[follow[s]]])
+                    if i is not None:
+                        heapq.heappush(heap, (-self.score[i], s, follow[s], follow[follow[s]]))
+
+            for s in range(len(unit)):
+                offer(s)
+            while heap:
+                _, s, m, e = heapq.heappop(heap)
+                if follow[s] == m and before[m] == s and follow[m] == e:
+                    follow[s], before[m] = e, -2
+                    if e < len(unit):
+                        before[e] = s
+                    offer(before[s])
+                    offer(s)
+            cuts = [0]
+            while cuts[-1] < len(unit):
+                cuts.append(follow[cuts[-1]])
+        found = [unit[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        return [i for p in found for i in ([self.id_of[p]] if p in self.id_of else self.fallback(p))]
+
+    def decoded(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes, how many of each) of the texts whose ids follow each other, with their leading blanks."""
+        size = self.part_sizes[ids]
+        to = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(counts)])]
+        return gathered(self.part_bytes, self.part_starts[ids], size), np.diff(to)
+
+
+_known: dict[int, Pieces] = {}
+
+
+def pieces_of(model: bytes) -> Pieces:
     """One for each worker process and model."""
     key = zlib.crc32(model)
-    if key not in _lattices:
-        _lattices[key] = Lattice(*read_model(model))
-    _lattices[key].cache = cache
-    return _lattices[key]
-
+    if key not in _known:
+        _known[key] = Pieces(*read_model(model))
+    return _known[key]
+
+
+class Table:
+    """Ids of units, found by the 128 bits of their bytes' hash."""
+
+    def __init__(self, units: list[bytes], ids: list[np.ndarray]):
+        pairs = byte_hashes(units)
+        order = np.argsort(pairs[:, 0], kind="stable")
+        self.first, self.second = pairs[order, 0], pairs[order, 1]
+        size = np.array([len(x) for x in ids], dtype=np.int32)
+        self.sizes = size[order]
+        starts = (np.cumsum(size) - size).astype(np.int32)
+        self.starts = starts[order]
+        self.flat = np.concatenate([*ids, np.zeros(0, np.int32)]).astype(np.int32)
+
+    def find(self, units: list[bytes]) -> np.ndarray:
+        """Places of units in the table, -1 for those that it does not have."""
+        pairs = byte_hashes(units)
+        at = np.searchsorted(self.first, pairs[:, 0])
+        out = np.full(len(units), -1, dtype=np.int64)
+        for step in range(2):  # two units of a table with equal first hashes are told apart by the second
+            near = np.minimum(at + step, len(self.first) - 1)
+            if len(self.first):
+                same = (self.first[near] == pairs[:, 0]) & (self.second[near] == pairs[:, 1])
+                out[same] = near[same]
+        return out
+
+
+def _unit_rows(model: bytes, table=None):
+    """Rows (row, text) to distinct units: with their counts, or (with a table) by row those that it lacks."""
 
-def _encode(model: bytes, cache: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _lattice(model, cache)
+        own = pieces_of(model)
         for batch in batches:
-            for first, texts in text_runs(batch.column(1)):
-                ids = own.encode_all(texts)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(ids, pa.list_(pa.int32()))], ["row", "ids"])
+            for i, j, data, offsets in slices(batch.column(1), RUN_BYTES):
+                body, cuts, first = own.units(data, offsets)
+                which, units = numbered(body, cuts) if len(cuts) > 1 else (np.zeros(0, np.int64), [])
+                if table is None:
+                    yield pa.RecordBatch.from_arrays([pa.array(units, pa.binary()).cast(pa.string()), pa.array(np.bincount(which, minlength=len(units)), pa.int64())], ["unit", "n"])
+                    continue
+                lacking = np.flatnonzero(table.value.find(units)[which] < 0)
+                rows = np.searchsorted(first, lacking, side="right") - 1
+                pairs = np.unique(np.stack([rows, which[lacking]], axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i + pairs[:, 0])), pa.array([units[k] for k in pairs[:, 1]], pa.binary()).cast(pa.string())], ["row", "unit"])
 
     return run
 
 
-def _decode(model: bytes):
+def _long_paths(model: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _lattice(model)
+        own = pieces_of(model)
         for batch in batches:
-            texts = [own.decode(x.as_py() or []) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["row", "decoded"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([own.path(u) for u in batch.column(0).to_pylist()], pa.list_(pa.int32()))], ["unit", "n", "ids"])
 
     return run
 
 
-def _digest(model: bytes, cache: int):
+def piece_table(spark: SparkSession, model: bytes) -> DataFrame:
+    """piece, piece_id, score: as long as the vocabulary, whatever the corpus."""
+    return spark.createDataFrame(pieces_of(model).rows, "piece string, piece_id int, score double")
+
+
+def edges_of(units: DataFrame, pieces: DataFrame, longest: int, byte_ids: list[int], floor: float) -> DataFrame:
+    """units (unit, n) with the array `edges`: (cost, s, e, ids, ends, inner), best score first, leftmost of equals.
+    ends has the bits of s and e, inner those between them. A character without a piece has the ids of its bytes."""
+    at = units.where(F.length("unit") > 0).select("unit", "n", F.explode(F.sequence(F.lit(0), F.length("unit") - 1)).alias("s"))
+    subs = at.select("unit", "n", "s", F.explode(F.sequence(F.col("s") + 1, F.least(F.col("s") + longest, F.length("unit")))).alias("e"))
+    subs = subs.withColumn("piece", F.expr("substring(unit, s + 1, e - s)"))
+    found = subs.join(F.broadcast(pieces), "piece", "left").where("piece_id is not null or e = s + 1")
+    table = f"array({', '.join(map(str, byte_ids))})"
+    raw = f"transform(sequence(1, length(hex(piece)), 2), k -> {table}[cast(conv(substring(hex(piece), k, 2), 16, 10) as int)])" if len(byte_ids) > 1 else table
+    ids = F.expr(f"if(piece_id is null, {raw}, array(piece_id))")
+    edge = F.struct((-F.coalesce("score", F.lit(floor))).alias("cost"), "s", "e", ids.alias("ids"), F.expr("shiftleft(1L, s) | shiftleft(1L, e)").alias("ends"), F.expr("shiftleft(1L, e) - shiftleft(1L, s + 1)").alias("inner"))
+    return found.groupBy("unit").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(edge)).alias("edges"))
+
+
+#: The boundaries that merging leaves, as bits: 0 and the unit's length among them.
+MERGED = """aggregate(sequence(1, length(unit)), shiftleft(1L, length(unit) + 1) - 1, (cuts, step) -> if(step = length(unit), cuts,
+    cuts & ~coalesce(get(filter(edges, x -> x.inner <> 0 and (cuts & x.ends) = x.ends and bit_count(cuts & x.inner) = 1), 0).inner, 0L)))"""
+#: The boundaries of the path with the largest sum: the least cost of every prefix, and where its last edge begins.
+VITERBI = """aggregate(array_sort(transform(edges, x -> named_struct('e', x.e, 's', x.s, 'cost', x.cost))), named_struct('cost', array(0D), 'back', array(0)), (a, x) -> case
+    when size(a.cost) = x.e then named_struct('cost', concat(a.cost, array(a.cost[x.s] + x.cost)), 'back', concat(a.back, array(x.s)))
+    when a.cost[x.s] + x.cost < a.cost[x.e] then named_struct('cost', concat(slice(a.cost, 1, x.e), array(a.cost[x.s] + x.cost)), 'back', concat(slice(a.back, 1, x.e), array(x.s)))
+    else a end, a -> aggregate(sequence(1, length(unit)), named_struct('e', length(unit), 'cuts', shiftleft(1L, length(unit))), (w, step) -> case
+        when w.e = 0 then w else named_struct('e', a.back[w.e], 'cuts', w.cuts | shiftleft(1L, a.back[w.e])) end, w -> w.cuts))"""
+#: The ids of the edges between neighbouring boundaries, in order.
+CHOSEN = "flatten(transform(array_sort(transform(filter(edges, x -> (cuts & x.ends) = x.ends and (cuts & x.inner) = 0), x -> named_struct('s', x.s, 'ids', x.ids))), y -> y.ids))"
+
+
+def lattice(units: DataFrame, model: bytes) -> DataFrame:
+    """units (unit, n) with ids: those of the model's path."""
+    own = pieces_of(model)
+    byte_ids = [own.bytes[b] for b in range(256)] if own.bytes else [own.unknown]
+    edges = edges_of(units.where(F.length("unit") <= FOLD_CHARS), piece_table(units.sparkSession, model), own.longest, byte_ids, own.floor)
+    short = edges.withColumn("cuts", F.expr(MERGED if own.bpe else VITERBI)).select("unit", "n", F.expr(CHOSEN).alias("ids"))
+    return short.union(units.where(F.length("unit") > FOLD_CHARS).mapInArrow(_long_paths(model), "unit string, n long, ids array<int>"))
+
+
+def _row_bytes() -> Column:
+    """Bytes of a unit in the table: two hashes, its place and size, its ids."""
+    return F.lit(24) + 4 * F.size("ids")
+
+
+def unit_table(coded: DataFrame, limit: int = TABLE_BYTES) -> tuple[Table, int]:
+    """The table of the most frequent units that fit limit bytes, and the count that a unit in it has at least."""
+    levels = coded.groupBy(F.floor(F.log2("n")).cast("int").alias("level")).agg(F.sum(_row_bytes()).alias("size")).orderBy(F.desc("level")).collect()
+    total, least = 0, 0
+    for r in levels:  # at most 63 rows
+        total += r["size"]
+        if total > limit:
+            least = 2 ** (r["level"] + 1)
+            break
+    got = coded.where(F.col("n") >= least).select("unit", "ids").toArrow()
+    ids = got.column("ids").combine_chunks()
+    ends, flat = (ids.offsets.to_numpy(), ids.values.to_numpy()) if len(ids) else (np.zeros(1, np.int64), np.zeros(0, np.int32))
+    return Table([u.encode() for u in got.column("unit").to_pylist()], [flat[a:b] for a, b in zip(ends, ends[1:], strict=False)]), least
+
+
+def _assemble(model: bytes, table, digest: bool):
+    """Rows (row, text, rare) to ids or, with digest, to what the query tells of them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _lattice(model, cache)
+        own, known = pieces_of(model), table.value
         for batch in batches:
-            for first, texts in text_runs(batch.column(1)):
-                n, crc, same = [], [], []
-                for t, ids in zip(texts, own.encode_all(texts), strict=True):
-                    n.append(len(ids))
-                    crc.append(zlib.crc32(np.array(ids, dtype="<u4").tobytes()))
-                    same.append(own.decode(ids) == t)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(same)], ["id", "n_pieces", "ids_crc32", "round_trip"])
+            for i, j, data, offsets in slices(batch.column(1), RUN_BYTES):
+                body, cuts, first = own.units(data, offsets)
+                which, units = numbered(body, cuts) if len(cuts) > 1 else (np.zeros(0, np.int64), [])
+                at = known.find(units)
+                starts, sizes, flat = known.starts[at].astype(np.int64), known.sizes[at].astype(np.int64), known.flat
+                if (at < 0).any():
+                    rare = {u.encode(): x for r in batch.column(2).slice(i, j - i).to_pylist() for u, x in ((p["unit"], p["ids"]) for p in r or ())}
+                    more = [rare[units[k]] for k in np.flatnonzero(at < 0)]
+                    sizes[at < 0] = [len(x) for x in more]
+                    starts[at < 0] = len(flat) + np.cumsum(sizes[at < 0]) - sizes[at < 0]
+                    flat = np.concatenate([flat, *(np.array(x, np.int32) for x in more)])
+                ids = gathered(flat, starts[which], sizes[which])
+                ends = np.concatenate([[0], np.cumsum(sizes[which])])[first]
+                if not digest:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))], ["row", "ids"])
+                    continue
+                crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(ends, ends[1:], strict=False)]
+                text, size = own.decoded(ids, np.diff(ends))
+                to = np.concatenate([[0], np.cumsum(size)])
+                same = [text[to[k] + (size[k] > 0) : to[k + 1]].tobytes() == data[offsets[k] : offsets[k + 1]].tobytes() for k in range(j - i)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(ends), pa.int64()), pa.array(crc, pa.int64()), pa.array(same)], ["row", "n_pieces", "ids_crc32", "round_trip"])
 
     return run
 
 
-def encode(docs: DataFrame, model: bytes, text_col: str = "text", out_col: str = "piece_ids", keep: list[str] | None = None, cache: int = CACHE_WORDS) -> DataFrame:
-    """The columns keep of docs (all, unless named), with out_col: the ids of each whole text."""
-    bounded_batches(docs.sparkSession)
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("row"), text_of(text_col).alias("text"))
-    out = row.mapInArrow(_encode(model, cache), f"row {row.schema['row'].dataType.simpleString()}, ids array<int>")
-    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in keep or docs.columns], F.col("ids").alias(out_col))
+def _encoded(docs: DataFrame, model: bytes, text_col: str, keep: list[str], digest: bool, limit: int) -> DataFrame:
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), text_of(text_col).alias("text"))
+    kind = rows.schema["row"].dataType.simpleString()
+    units = rows.select(F.lit(0).alias("row"), "text").mapInArrow(_unit_rows(model), "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+    coded = written(lattice(units, model), "piece-units")
+    made, least = unit_table(coded, limit)
+    table = spark.sparkContext.broadcast(made)
+    if least:
+        rows = written(rows.withColumn("no", F.monotonically_increasing_id()), "piece-rows")
+        lacking = rows.select("no", "text").mapInArrow(_unit_rows(model, table), "no long, unit string")
+        rare = lacking.join(coded.where(F.col("n") < least), "unit").groupBy("no").agg(F.collect_list(F.struct("unit", "ids")).alias("rare"))
+        rows = rows.join(rare, "no", "left").select("row", "text", "rare")
+    else:
+        rows = rows.select("row", "text", F.lit(None).cast("array<struct<unit:string,ids:array<int>>>").alias("rare"))
+    return rows.mapInArrow(_assemble(model, table, digest), f"row {kind}, " + ("n_pieces long, ids_crc32 long, round_trip boolean" if digest else "ids array<int>"))
+
+
+def encode(docs: DataFrame, model: bytes, text_col: str = "text", out_col: str = "piece_ids", keep: list[str] | None = None, limit: int = TABLE_BYTES) -> DataFrame:
+    """The columns keep of docs (all, unless named), with out_col: the ids of each whole text. A column of docs with
+    that name is replaced."""
+    keep = [c for c in keep or docs.columns if c != out_col]
+    out = _encoded(docs, model, text_col, keep, False, limit)
+    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in keep], F.col("ids").alias(out_col))
+
+
+def _decode(model: bytes):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = pieces_of(model)
+        for batch in batches:
+            lists = [np.array(x.as_py() or [], np.int64) for x in batch.column(1)]
+            text, size = own.decoded(np.concatenate([*lists, np.zeros(0, np.int64)]), np.array([len(x) for x in lists], np.int64))
+            to = np.concatenate([[0], np.cumsum(size)])
+            texts = [text[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(to, to[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t[1:] if t.startswith(" ") else t for t in texts], pa.string())], ["row", "decoded"])
+
+    return run
 
 
 def decode(docs: DataFrame, model: bytes, ids_col: str = "piece_ids", out_col: str = "decoded") -> DataFrame:
-    """docs with out_col: the text of the ids."""
+    """docs with out_col: the text of the ids. A column of docs with that name is replaced."""
     bounded_batches(docs.sparkSession)
     row = docs.select(F.struct("*").alias("row"), F.col(ids_col).alias("ids"))
     out = row.mapInArrow(_decode(model), f"row {row.schema['row'].dataType.simpleString()}, decoded string")
-    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns], F.col("decoded").alias(out_col))
-
-
-def piece_table(spark: SparkSession, model: bytes) -> DataFrame:
-    """piece, piece_id, score: as long as the vocabulary, whatever the corpus."""
-    pieces, _ = read_model(model)
-    return spark.createDataFrame([(p, k, s) for k, (p, s, kind) in enumerate(pieces) if kind in (1, 4)], "piece string, piece_id int, score double")
-
-
-def lattice(words: DataFrame, pieces: DataFrame, longest: int = 16) -> DataFrame:
-    """The relational form for unigram paths. words: word; pieces: piece, piece_id, score. Returns word and
-    its best path's pieces, by the largest sum of scores; characters without a piece cost 10 below the least."""
-    floor = pieces.agg(F.min("score")).first()[0] - 10.0
-    at = words.select("word").distinct().select("word", F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("s")).where("length(word) > 0")
-    subs = at.select("word", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("word") - F.col("s")))).alias("n"))
-    subs = subs.select("word", F.expr("substring(word, s + 1, n)").alias("piece"), "s", (F.col("s") + F.col("n")).alias("e"), "n")
-    edges = subs.join(F.broadcast(pieces), "piece", "left").where("piece_id is not null or n = 1")
-    grouped = edges.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("e", "s", F.coalesce("score", F.lit(floor)).alias("score")))).alias("edges"))
-    fold = """aggregate(edges, named_struct('best', array(cast(0 as double)), 'back', array(0)), (a, x) -> case
-        when size(a.best) = x.e then named_struct('best', concat(a.best, array(a.best[x.s] + x.score)), 'back', concat(a.back, array(x.s)))
-        when a.best[x.s] + x.score > a.best[x.e] then named_struct('best', concat(slice(a.best, 1, x.e), array(a.best[x.s] + x.score)), 'back', concat(slice(a.back, 1, x.e), array(x.s)))
-        else a end, a -> a.back)"""
-    walk = """aggregate(sequence(1, length(word)), named_struct('e', length(word), 'p', cast(array() as array<string>)), (a, i) ->
-        case when a.e = 0 then a else named_struct('e', back[a.e], 'p', concat(array(substring(word, back[a.e] + 1, a.e - back[a.e])), a.p)) end, a -> a.p)"""
-    return grouped.select("word", F.expr(fold).alias("back")).select("word", F.expr(walk).alias("path"))
+    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != out_col], F.col("decoded").alias(out_col))
 
 
 def model_file(name: str = "piece_bpe_32k.model") -> bytes:
@@ -277,13 +382,11 @@ def model_file(name: str = "piece_bpe_32k.model") -> bytes:
         return f.read()
 
 
-def digests(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", cache: int = CACHE_WORDS) -> DataFrame:
+def digests(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", limit: int = TABLE_BYTES) -> DataFrame:
     """For each row: id, n_pieces, the CRC-32 of its ids (little-endian, 32 bits) and whether decoding gives the text back."""
-    bounded_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
-    out = rows.mapInArrow(_digest(model, cache), f"id {dict(docs.dtypes)[id_col]}, n_pieces long, ids_crc32 long, round_trip boolean")
-    return out.withColumnRenamed("id", id_col)
+    out = _encoded(docs, model, text_col, [id_col], True, limit)
+    return out.select(F.col(f"row.`{id_col}`").alias(id_col), "n_pieces", "ids_crc32", "round_trip")
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(documents(spark, sf_dir).select("doc_id", "text"), model_file(), cache=1_200_000)
+    return digests(documents(spark, sf_dir).select("doc_id", "text"), model_file())
