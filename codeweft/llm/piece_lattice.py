@@ -27,18 +27,20 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeweft.llm._common import bounded_batches, documents, text_of, written
 from codeweft.llm._rolling import byte_hashes, gathered, numbered, slices
 
 BLANK = "▁"
-#: Bytes of the table of units that is broadcast, longest unit of the native fold, bytes of text handled at once.
-TABLE_BYTES, FOLD_CHARS, RUN_BYTES = 128 << 20, 60, 2 << 20
+#: Bytes of the table of units that is broadcast, longest unit of the native fold, bytes of text handled at once,
+#: units of a task whose edges are grouped in memory (some 1 kB each).
+TABLE_BYTES, FOLD_CHARS, RUN_BYTES, GROUPS = 96 << 20, 60, 1 << 20, 100_000
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -181,17 +183,22 @@ def pieces_of(model: bytes) -> Pieces:
 
 
 class Table:
-    """Ids of units, found by the 128 bits of their bytes' hash."""
-
-    def __init__(self, units: list[bytes], ids: list[np.ndarray]):
-        pairs = byte_hashes(units)
+    """Ids of units (columns unit, ids), found by the 128 bits of their bytes' hash."""
+
+    def __init__(self, coded: pa.Table):
+        hashes, sizes, flat = [np.zeros((0, 2), np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint16)]
+        for batch in coded.to_batches(max_chunksize=1 << 15):
+            hashes.append(byte_hashes(batch.column(0).cast(pa.binary()).to_pylist()))
+            ids = batch.column(1)
+            sizes.append(np.diff(ids.offsets.to_numpy()))
+            flat.append(ids.flatten().to_numpy())
+        pairs, size = np.concatenate(hashes), np.concatenate(sizes)
+        flat = [x.astype(np.uint16) for x in flat] if max((x.max() for x in flat if len(x)), default=0) < 1 << 16 else flat
         order = np.argsort(pairs[:, 0], kind="stable")
         self.first, self.second = pairs[order, 0], pairs[order, 1]
-        size = np.array([len(x) for x in ids], dtype=np.int32)
-        self.sizes = size[order]
-        starts = (np.cumsum(size) - size).astype(np.int32)
-        self.starts = starts[order]
-        self.flat = np.concatenate([*ids, np.zeros(0, np.int32)]).astype(np.int32)
+        self.sizes = size[order].astype(np.uint8 if size.max(initial=0) < 256 else np.int32)
+        self.starts = (np.cumsum(size) - size)[order].astype(np.uint32)
+        self.flat = np.concatenate(flat)
 
     def find(self, units: list[bytes]) -> np.ndarray:
         """Places of units in the table, -1 for those that it does not have."""
@@ -235,65 +242,93 @@ def _long_paths(model: bytes):
     return run
 
 
-def piece_table(spark: SparkSession, model: bytes) -> DataFrame:
-    """piece, piece_id, score: as long as the vocabulary, whatever the corpus."""
-    return spark.createDataFrame(pieces_of(model).rows, "piece string, piece_id int, score double")
+def ranked_pieces(spark: SparkSession, model: bytes) -> DataFrame:
+    """The piece table with `rank`: 1 for the best score, one rank for equal scores."""
+    rows = pieces_of(model).rows
+    rank = {s: k + 1 for k, s in enumerate(sorted({s for _, _, s in rows}, reverse=True))}
+    return spark.createDataFrame([(p, k, rank[s]) for p, k, s in rows], "piece string, piece_id long, rank long")
 
 
-def edges_of(units: DataFrame, pieces: DataFrame, longest: int, byte_ids: list[int], floor: float) -> DataFrame:
-    """units (unit, n) with the array `edges`: (cost, s, e, ids, ends, inner), best score first, leftmost of equals.
-    ends has the bits of s and e, inner those between them. A character without a piece has the ids of its bytes."""
+def edges_of(units: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
+    """units (unit, n) with the array `edges`: longs of a piece's rank, where it begins and ends (6 bits each) and its
+    id + 1 (20 bits), so that they sort by best score, leftmost of equals. A character without a piece has rank and id 0.
+    """
     at = units.where(F.length("unit") > 0).select("unit", "n", F.explode(F.sequence(F.lit(0), F.length("unit") - 1)).alias("s"))
     subs = at.select("unit", "n", "s", F.explode(F.sequence(F.col("s") + 1, F.least(F.col("s") + longest, F.length("unit")))).alias("e"))
     subs = subs.withColumn("piece", F.expr("substring(unit, s + 1, e - s)"))
     found = subs.join(F.broadcast(pieces), "piece", "left").where("piece_id is not null or e = s + 1")
-    table = f"array({', '.join(map(str, byte_ids))})"
-    raw = f"transform(sequence(1, length(hex(piece)), 2), k -> {table}[cast(conv(substring(hex(piece), k, 2), 16, 10) as int)])" if len(byte_ids) > 1 else table
-    ids = F.expr(f"if(piece_id is null, {raw}, array(piece_id))")
-    edge = F.struct((-F.coalesce("score", F.lit(floor))).alias("cost"), "s", "e", ids.alias("ids"), F.expr("shiftleft(1L, s) | shiftleft(1L, e)").alias("ends"), F.expr("shiftleft(1L, e) - shiftleft(1L, s + 1)").alias("inner"))
-    return found.groupBy("unit").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(edge)).alias("edges"))
-
-
-#: The boundaries that merging leaves, as bits: 0 and the unit's length among them.
-MERGED = """aggregate(sequence(1, length(unit)), shiftleft(1L, length(unit) + 1) - 1, (cuts, step) -> if(step = length(unit), cuts,
-    cuts & ~coalesce(get(filter(edges, x -> x.inner <> 0 and (cuts & x.ends) = x.ends and bit_count(cuts & x.inner) = 1), 0).inner, 0L)))"""
-#: The boundaries of the path with the largest sum: the least cost of every prefix, and where its last edge begins.
-VITERBI = """aggregate(array_sort(transform(edges, x -> named_struct('e', x.e, 's', x.s, 'cost', x.cost))), named_struct('cost', array(0D), 'back', array(0)), (a, x) -> case
-    when size(a.cost) = x.e then named_struct('cost', concat(a.cost, array(a.cost[x.s] + x.cost)), 'back', concat(a.back, array(x.s)))
-    when a.cost[x.s] + x.cost < a.cost[x.e] then named_struct('cost', concat(slice(a.cost, 1, x.e), array(a.cost[x.s] + x.cost)), 'back', concat(slice(a.back, 1, x.e), array(x.s)))
+    edge = F.expr("shiftleft(coalesce(rank, 0L), 32) | shiftleft(cast(s as long), 26) | shiftleft(cast(e as long), 20) | coalesce(piece_id + 1, 0L)")
+    return found.groupBy("unit", "n").agg(F.collect_list(edge).alias("edges"))
+
+
+#: Of an edge x, as bits: its ends, and what lies between them.
+_BITS = "named_struct('ends', shiftleft(1L, cast(shiftright(x, 26) & 63 as int)) | shiftleft(1L, cast(shiftright(x, 20) & 63 as int)), 'inner', shiftleft(1L, cast(shiftright(x, 20) & 63 as int)) - shiftleft(2L, cast(shiftright(x, 26) & 63 as int)))"
+#: Edges over two characters or more, best first.
+SPANS = f"transform(filter(sort_array(edges), x -> (shiftright(x, 20) & 63) > (shiftright(x, 26) & 63) + 1), x -> {_BITS})"
+#: The boundaries that merging leaves, as bits: 0 and the unit's length among them. An edge whose ends are not both
+#: boundaries, or that has none inside, can't come back, so each step keeps only the others.
+MERGED = """aggregate(sequence(1, length(unit)), named_struct('cuts', shiftleft(1L, length(unit) + 1) - 1, 'left', spans), (a, step) -> if(size(a.left) = 0, a,
+    transform(array(a.cuts & ~coalesce(get(filter(a.left, x -> bit_count(a.cuts & x.inner) = 1), 0).inner, -1L)), cuts -> named_struct('cuts', if(cuts = 0, a.cuts, cuts),
+    'left', if(cuts = 0, slice(a.left, 1, 0), filter(a.left, x -> (cuts & x.ends) = x.ends and (cuts & x.inner) <> 0))))[0]), a -> a.cuts)"""
+
+
+def _viterbi(costs: str) -> str:
+    """The boundaries of the path with the largest sum: the least cost of every prefix, and where its last edge begins.
+    costs: SQL of an array with the cost of each rank, from 0 for characters without a piece."""
+    return f"""aggregate(array_sort(transform(edges, x -> named_struct('e', cast(shiftright(x, 20) & 63 as int), 's', cast(shiftright(x, 26) & 63 as int), 'rank', cast(shiftright(x, 32) as int)))), named_struct('cost', array(0D), 'back', array(0)), (a, x) -> case
+    when size(a.cost) = x.e then named_struct('cost', concat(a.cost, array(a.cost[x.s] + {costs}[x.rank])), 'back', concat(a.back, array(x.s)))
+    when a.cost[x.s] + {costs}[x.rank] < a.cost[x.e] then named_struct('cost', concat(slice(a.cost, 1, x.e), array(a.cost[x.s] + {costs}[x.rank])), 'back', concat(slice(a.back, 1, x.e), array(x.s)))
     else a end, a -> aggregate(sequence(1, length(unit)), named_struct('e', length(unit), 'cuts', shiftleft(1L, length(unit))), (w, step) -> case
         when w.e = 0 then w else named_struct('e', a.back[w.e], 'cuts', w.cuts | shiftleft(1L, a.back[w.e])) end, w -> w.cuts))"""
-#: The ids of the edges between neighbouring boundaries, in order.
-CHOSEN = "flatten(transform(array_sort(transform(filter(edges, x -> (cuts & x.ends) = x.ends and (cuts & x.inner) = 0), x -> named_struct('s', x.s, 'ids', x.ids))), y -> y.ids))"
 
 
-def lattice(units: DataFrame, model: bytes) -> DataFrame:
-    """units (unit, n) with ids: those of the model's path."""
-    own = pieces_of(model)
-    byte_ids = [own.bytes[b] for b in range(256)] if own.bytes else [own.unknown]
-    edges = edges_of(units.where(F.length("unit") <= FOLD_CHARS), piece_table(units.sparkSession, model), own.longest, byte_ids, own.floor)
-    short = edges.withColumn("cuts", F.expr(MERGED if own.bpe else VITERBI)).select("unit", "n", F.expr(CHOSEN).alias("ids"))
-    return short.union(units.where(F.length("unit") > FOLD_CHARS).mapInArrow(_long_paths(model), "unit string, n long, ids array<int>"))
+#: The edges between neighbouring boundaries, in order: where they begin, and their id + 1. The boundaries are bound to
+#: a variable, else the optimiser would put their fold into the lambda and run it for each edge.
+CHOSEN = """transform(array(cuts), c -> sort_array(transform(filter(edges, x -> (c & (shiftleft(2L, cast(shiftright(x, 20) & 63 as int)) - shiftleft(1L, cast(shiftright(x, 26) & 63 as int))))
+    = (shiftleft(1L, cast(shiftright(x, 26) & 63 as int)) | shiftleft(1L, cast(shiftright(x, 20) & 63 as int)))), x -> shiftleft(shiftright(x, 26) & 63, 20) | (x & 1048575))))[0]"""
+
 
+@contextmanager
+def groups_in_memory(spark: SparkSession, groups: int) -> Iterator[None]:
+    """Lets an aggregation into arrays hold so many groups in memory before it sorts, for plans that run inside."""
+    name = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(groups))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
-def _row_bytes() -> Column:
-    """Bytes of a unit in the table: two hashes, its place and size, its ids."""
-    return F.lit(24) + 4 * F.size("ids")
+
+def lattice(units: DataFrame, model: bytes) -> DataFrame:
+    """units (unit, n), distinct, with ids: those of the model's path."""
+    own, spark = pieces_of(model), units.sparkSession
+    edges = edges_of(units.where(F.length("unit") <= FOLD_CHARS), F.broadcast(ranked_pieces(spark, model)), own.longest)
+    if own.bpe:
+        short = edges.withColumn("spans", F.expr(SPANS)).withColumn("cuts", F.expr(MERGED))
+    else:
+        scores = sorted({s for _, _, s in own.rows}, reverse=True)
+        short = edges.crossJoin(F.broadcast(spark.createDataFrame([([-own.floor, *(-s for s in scores)],)], "costs array<double>"))).withColumn("cuts", F.expr(_viterbi("costs")))
+    short = short.withColumn("chosen", F.expr(CHOSEN))
+    byte_ids = f"array({', '.join(str(own.bytes[b]) for b in range(256))})" if own.bytes else ""
+    char = "substring(unit, cast(shiftright(x, 20) as int) + 1, 1)"
+    raw = f"transform(sequence(1, length(hex({char})), 2), k -> {byte_ids}[cast(conv(substring(hex({char}), k, 2), 16, 10) as int)])" if byte_ids else f"array({own.unknown})"
+    own_id = "cast((x & 1048575) - 1 as int)"
+    ids = F.expr(f"if(exists(chosen, x -> (x & 1048575) = 0), flatten(transform(chosen, x -> if((x & 1048575) = 0, {raw}, array({own_id})))), transform(chosen, x -> {own_id}))")
+    return short.select("unit", "n", ids.alias("ids")).union(units.where(F.length("unit") > FOLD_CHARS).mapInArrow(_long_paths(model), "unit string, n long, ids array<int>"))
 
 
 def unit_table(coded: DataFrame, limit: int = TABLE_BYTES) -> tuple[Table, int]:
     """The table of the most frequent units that fit limit bytes, and the count that a unit in it has at least."""
-    levels = coded.groupBy(F.floor(F.log2("n")).cast("int").alias("level")).agg(F.sum(_row_bytes()).alias("size")).orderBy(F.desc("level")).collect()
+    size = F.sum(24 + 2 * F.size("ids"))  # two hashes, a place and a size, and ids of two bytes each
+    levels = coded.groupBy(F.floor(F.log2("n")).cast("int").alias("level")).agg(size.alias("size")).orderBy(F.desc("level")).collect()
     total, least = 0, 0
     for r in levels:  # at most 63 rows
         total += r["size"]
         if total > limit:
             least = 2 ** (r["level"] + 1)
             break
-    got = coded.where(F.col("n") >= least).select("unit", "ids").toArrow()
-    ids = got.column("ids").combine_chunks()
-    ends, flat = (ids.offsets.to_numpy(), ids.values.to_numpy()) if len(ids) else (np.zeros(1, np.int64), np.zeros(0, np.int32))
-    return Table([u.encode() for u in got.column("unit").to_pylist()], [flat[a:b] for a, b in zip(ends, ends[1:], strict=False)]), least
+    return Table(coded.where(F.col("n") >= least).select("unit", "ids").toArrow()), least
 
 
 def _assemble(model: bytes, table, digest: bool):
@@ -306,7 +341,7 @@ def _assemble(model: bytes, table, digest: bool):
                 body, cuts, first = own.units(data, offsets)
                 which, units = numbered(body, cuts) if len(cuts) > 1 else (np.zeros(0, np.int64), [])
                 at = known.find(units)
-                starts, sizes, flat = known.starts[at].astype(np.int64), known.sizes[at].astype(np.int64), known.flat
+                starts, sizes, flat = (known.starts[at].astype(np.int64), known.sizes[at].astype(np.int64), known.flat) if len(known.first) else (np.zeros(len(at), np.int64), np.zeros(len(at), np.int64), known.flat)
                 if (at < 0).any():
                     rare = {u.encode(): x for r in batch.column(2).slice(i, j - i).to_pylist() for u, x in ((p["unit"], p["ids"]) for p in r or ())}
                     more = [rare[units[k]] for k in np.flatnonzero(at < 0)]
@@ -316,7 +351,7 @@ def _assemble(model: bytes, table, digest: bool):
                 ids = gathered(flat, starts[which], sizes[which])
                 ends = np.concatenate([[0], np.cumsum(sizes[which])])[first]
                 if not digest:
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))], ["row", "ids"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.astype(np.int32)))], ["row", "ids"])
                     continue
                 crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(ends, ends[1:], strict=False)]
                 text, size = own.decoded(ids, np.diff(ends))
@@ -333,7 +368,9 @@ def _encoded(docs: DataFrame, model: bytes, text_col: str, keep: list[str], dige
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), text_of(text_col).alias("text"))
     kind = rows.schema["row"].dataType.simpleString()
     units = rows.select(F.lit(0).alias("row"), "text").mapInArrow(_unit_rows(model), "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
-    coded = written(lattice(units, model), "piece-units")
+    units = written(units, "units").repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "unit")
+    with groups_in_memory(spark, GROUPS):
+        coded = written(lattice(units, model), "piece-units")
     made, least = unit_table(coded, limit)
     table = spark.sparkContext.broadcast(made)
     if least:
