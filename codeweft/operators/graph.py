@@ -93,9 +93,9 @@ def neighbors(nodes: DataFrame, edges: DataFrame, entity_id: str, limit: int) ->
 def reachable(edges: DataFrame, starts: DataFrame, types: Iterable[str] | None, direction: str, depth: int) -> DataFrame:
     """(start, id, depth): what each start (column id) reaches, with the least depth, without itself.
 
-    Breadth first for all starts at once; every level is a written table, so a level is one join and one
-    anti join whatever the depth."""
-    hop = oriented(edges, types, direction).select("here", "there").distinct()
+    Breadth first for all starts at once; the edges are oriented and written once, every level is a written table, so a
+    level is one join and one anti join whatever the depth."""
+    hop = written(oriented(edges, types, direction).select("here", "there").distinct(), "hops")
     front = starts.select(F.col("id").alias("start"), "id", F.lit(0).alias("depth")).distinct()
     seen = front
     for level in range(1, checked_depth(depth) + 1):
@@ -114,7 +114,7 @@ def shortest_paths(edges: DataFrame, source: str, target: str, depth: int, limit
     hop = oriented(edges, types, "outgoing").select("here", "there")
     if not directed:
         hop = hop.union(hop.select("there", "here"))
-    hop = hop.distinct()
+    hop = written(hop.distinct(), "hops")
     front, seen = one.withColumn("id", F.lit(source)), spark.createDataFrame([(source,)], "id string")
     for _ in range(checked_depth(depth)):
         step = front.join(hop, F.col("id") == F.col("here")).join(seen.select(F.col("id").alias("there")), "there", "left_anti")
@@ -130,20 +130,32 @@ def contained(edges: DataFrame, starts: DataFrame, depth: int = MAX_DEPTH) -> Da
     return reachable(edges, starts, ["CONTAINS"], "outgoing", depth)
 
 
-def impact(nodes: DataFrame, edges: DataFrame, entity_id: str, depth: int = 3, limit: int = 300) -> DataFrame:
-    """What may change with an entity: reverse reachability over references from it and all it contains,
-    each source once at its least depth with the edge that found it first, in walking order."""
+def impact(nodes: DataFrame, edges: DataFrame, entity_id: str, depth: int = 3, limit: int = 300, types: Iterable[str] = IMPACT_TYPES, read_limit: int | None = None) -> DataFrame:
+    """What may change with an entity: reverse reachability over references from it and all it contains, each source
+    once at its least depth with the edge that found it first, in walking order; `truncated` tells whether there are
+    more than limit.
+
+    The walk takes what it begins with by depth, path, line and id, then what it finds in the order found; of each it
+    takes the incoming edges by type, path, line and id. read_limit bounds the contained entities, and the edges read
+    of each entity, as a bounded reader would; without it all count. Only limit + 1 rows of a level are numbered."""
     begin = nodes.where(F.col("id") == entity_id).select("id")
-    inside = contained(edges, begin).select("id", "depth").union(begin.withColumn("depth", F.lit(0)))
-    order = Window.orderBy("depth", "id")
-    front = written(inside.select("id", (F.row_number().over(order) - 1).alias("pos")), "impact-start")
+    inside = contained(edges, begin).select("id", "depth").join(nodes.select("id", "file_path", "start_line"), "id")
+    if read_limit is not None:
+        inside = inside.orderBy("depth", "file_path", "start_line", "id").limit(read_limit)
+    inside = inside.unionByName(nodes.where(F.col("id") == entity_id).select("id", F.lit(0).alias("depth"), "file_path", "start_line"))
+    front = written(inside.select("id", F.struct("depth", "file_path", "start_line", "id").alias("pos")), "impact-start")
     seen, out = front.select("id"), None
-    back = oriented(edges, IMPACT_TYPES, "incoming").join(nodes.select(F.col("id").alias("there"), "file_path"), "there")
+    back = oriented(edges, types, "incoming").select(F.col("id").alias("edge"), "type", "line", "here", "there").join(nodes.select(F.col("id").alias("there"), "file_path"), "there")
+    if read_limit is not None:
+        n = F.row_number().over(Window.partitionBy("here").orderBy("type", "file_path", "line", "there", "edge"))
+        back = back.withColumn("n", n).where(F.col("n") <= read_limit).drop("n")
+    back = written(back, "impact-edges")
     for level in range(1, checked_depth(depth) + 1):
         walk = ["pos", "type", "file_path", "line", "edge"]
-        found = front.select(F.col("id").alias("via"), "pos").join(back.withColumnRenamed("id", "edge"), F.col("via") == F.col("here")).join(seen.select(F.col("id").alias("there")), "there", "left_anti")
-        first = found.withColumn("rn", F.row_number().over(Window.partitionBy("there").orderBy(*walk))).where("rn = 1")
-        front = written(first.select(F.col("there").alias("id"), "via", "type", (F.row_number().over(Window.orderBy(*walk)) - 1).alias("pos"), F.lit(level).alias("depth")).orderBy("pos").limit(limit), "impact")
+        found = front.select(F.col("id").alias("via"), "pos").join(back, F.col("via") == F.col("here")).join(seen.select(F.col("id").alias("there")), "there", "left_anti")
+        first = found.groupBy("there").agg(F.min(F.struct(*walk, "via")).alias("w")).select("there", "w.*").orderBy(*walk).limit(limit + 1)
+        front = written(first.select(F.col("there").alias("id"), "via", "type", F.row_number().over(Window.orderBy(*walk)).alias("pos"), F.lit(level).alias("depth")), "impact")
         seen = seen.union(front.select("id"))
         out = front if out is None else out.unionByName(front)
-    return out.orderBy("depth", "pos").limit(limit).select("id", "depth", "via", "type")
+    more = out.count() > limit  # limit + 1 rows of each level at most
+    return out.orderBy("depth", "pos").limit(limit).select("id", "depth", "via", "type", F.lit(more).alias("truncated"))

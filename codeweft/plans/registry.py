@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeweft.operators import analytics as A
+from codeweft.operators import chunks as C
 from codeweft.operators import extract as X
 from codeweft.operators import graph as G
 from codeweft.operators import hybrid as H
@@ -128,20 +129,36 @@ def graph_shortest_paths(nodes, edges):
     return G.shortest_paths(edges, "file:3", "file:8", 4, 20, ["IMPORTS", "DEPENDS_ON"]).select(F.array_join("path", " > ").alias("path"))
 
 
-@_on_graph("""c(id, depth) AS (SELECT 'interface:3', 0 UNION SELECT e.target_id, c.depth + 1 FROM c JOIN edges e ON e.source_id = c.id WHERE e.type = 'CONTAINS' AND c.depth < 5),
-    r(id, depth) AS (SELECT id, 0 FROM c UNION SELECT e.source_id, r.depth + 1 FROM r JOIN edges e ON e.target_id = r.id WHERE e.type <> 'CONTAINS' AND r.depth < 3)
-    SELECT depth, least(count(*), 300) AS entities FROM (SELECT id, min(depth) AS depth FROM r GROUP BY id) WHERE depth > 0 GROUP BY depth""")
+def _impact_sql(entity_id: str, depth: int, types: str, limit: int = 300) -> str:
+    """The walk by levels: see graph.impact."""
+    sql = f"""c(id, depth) AS (SELECT '{entity_id}', 0 UNION SELECT e.target_id, c.depth + 1 FROM c JOIN edges e ON e.source_id = c.id WHERE e.type = 'CONTAINS' AND c.depth < 5),
+    s0 AS (SELECT id, row_number() OVER (ORDER BY min(depth), any_value(file_path), any_value(start_line), id) AS pos FROM c JOIN nodes USING (id) GROUP BY id), seen0 AS (SELECT id FROM s0)"""
+    for d in range(1, depth + 1):
+        sql += f""", f{d} AS (SELECT e.source_id AS id, s.id AS via, e.type, s.pos, n.file_path, e.line, e.id AS edge, row_number() OVER (PARTITION BY e.source_id ORDER BY s.pos, e.type, n.file_path, e.line, e.id) AS rn
+        FROM s{d - 1} s JOIN edges e ON e.target_id = s.id JOIN nodes n ON n.id = e.source_id WHERE e.type IN ({types}) AND e.source_id NOT IN (FROM seen{d - 1})),
+    s{d} AS (SELECT id, via, type, row_number() OVER (ORDER BY pos, type, file_path, line, edge) AS pos FROM f{d} WHERE rn = 1), seen{d} AS (FROM seen{d - 1} UNION SELECT id FROM s{d})"""
+    every = " UNION ALL ".join(f"SELECT id, {d} AS depth, via, type, pos FROM s{d}" for d in range(1, depth + 1))
+    return sql + f", r AS ({every}), t AS (SELECT * FROM r ORDER BY depth, pos LIMIT {limit})"
+
+
+_REFERENCES, _BETWEEN_FILES = "'CALLS', 'DEPENDS_ON', 'IMPLEMENTS', 'IMPORTS', 'INHERITS', 'USES'", "'IMPORTS', 'DEPENDS_ON'"
+_ROWS = "SELECT id, depth, via, type, (SELECT count(*) > 300 FROM r) AS truncated FROM t"
+
+
+@_on_graph(_impact_sql("file:3", 3, _BETWEEN_FILES) + " SELECT depth, count(*) AS entities FROM t GROUP BY 1")
 def impact_by_depth(nodes, edges):
-    return G.impact(nodes, edges, "interface:3").groupBy("depth").agg(F.count("*").alias("entities"))
+    return G.impact(nodes, edges, "file:3", types=["IMPORTS", "DEPENDS_ON"]).groupBy("depth").agg(F.count("*").alias("entities"))
 
 
-@_on_graph("""c(id, depth) AS (SELECT 'file:3', 0 UNION SELECT e.target_id, c.depth + 1 FROM c JOIN edges e ON e.source_id = c.id WHERE e.type = 'CONTAINS' AND c.depth < 5),
-    s AS (SELECT id, row_number() OVER (ORDER BY min(depth), id) - 1 AS pos FROM c GROUP BY id),
-    f AS (SELECT e.source_id AS id, s.id AS via, e.type, row_number() OVER (PARTITION BY e.source_id ORDER BY pos, e.type, n.file_path, e.line, e.id) AS rn, pos, n.file_path, e.line, e.id AS edge
-        FROM s JOIN edges e ON e.target_id = s.id JOIN nodes n ON n.id = e.source_id WHERE e.type <> 'CONTAINS' AND e.source_id NOT IN (SELECT id FROM s))
-    SELECT id, 1 AS depth, via, type FROM f WHERE rn = 1 ORDER BY pos, type, file_path, line, edge LIMIT 300""")
+@_on_graph(_impact_sql("file:3", 3, _REFERENCES) + " " + _ROWS)
 def impact_analysis(nodes, edges):
-    return G.impact(nodes, edges, "file:3", depth=1)
+    return G.impact(nodes, edges, "file:3")
+
+
+@_on_graph(_impact_sql("file:3", 3, _BETWEEN_FILES) + " " + _ROWS)
+def impact_files(nodes, edges):
+    """Files alone: several levels."""
+    return G.impact(nodes, edges, "file:3", types=["IMPORTS", "DEPENDS_ON"])
 
 
 @_on_graph(f"{PAIRS} SELECT * FROM p")
@@ -238,9 +255,9 @@ def occurrence_ids(spark, sf_dir):
     return numbered(t, "base", ["l_linenumber"]).select("l_orderkey", "l_linenumber", "id")
 
 
-_SCORE = "round(list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda x: x[1]::DOUBLE * x[2]::DOUBLE)), 6)"
+_SCORE = "list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda x: x[1]::DOUBLE * x[2]::DOUBLE))"
 _TOP = f"""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, e.label, {_SCORE} AS score FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0 {{where}}),
-    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rn FROM s {{having}}) SELECT query_id, vec_id, label, score FROM r WHERE rn <= {{k}}"""
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rn FROM s {{having}}) SELECT query_id, vec_id, label, round(score, 6) AS score FROM r WHERE rn <= {{k}}"""
 
 
 def _queries(v: DataFrame) -> DataFrame:
@@ -295,12 +312,12 @@ def chunk_hash(spark, sf_dir):
 
 
 @_query("""WITH RECURSIVE d AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda l: length(l) + 1) AS n FROM documents),
-    w(doc_id, part, s, e, n) AS (SELECT doc_id, 0, 0, 0, n FROM d UNION ALL SELECT doc_id, part + 1, ns, ns + greatest(1, coalesce(list_position(list_transform(range(1, least(len(n) - ns + 1, 200) + 1), lambda k: list_sum(n[ns:ns + k - 1]) > 2000), true) - 1, len(n) - ns + 1)) - 1, n
+    w(doc_id, part, s, e, n) AS (SELECT doc_id, 0, 0, 0, n FROM d UNION ALL SELECT doc_id, part + 1, ns, ns + greatest(1, coalesce(list_position(list_transform(range(1, len(n) - ns + 2), lambda k: list_sum(n[ns:ns + k - 1]) > 2000), true) - 1, len(n) - ns + 1)) - 1, n
         FROM (SELECT *, CASE WHEN part = 0 THEN 1 ELSE greatest(e + 1 - 3, s + 1) END AS ns FROM w WHERE part = 0 OR e < len(n)))
     SELECT doc_id, part, s AS first_line, e AS last_line FROM w WHERE part > 0""", False)
 def chunk_windows(spark, sf_dir):
     d = _table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("lines"))
-    return V.chunk_windows(d, "doc_id", 2000, 3)
+    return C.windows(d, "doc_id", 2000, 3)
 
 
 @_query(r"""WITH a AS (SELECT conv_id, turn, 'see [' || (turn % 4) || ', ' || (turn + 1) || '] and [99] in ' || text AS answer FROM conversations),
@@ -373,6 +390,23 @@ def source_edges(spark, sf_dir):
     return X.edges(files, written(X.resolved(files), "resolved")).select("project_id", "type", "source_id", "target_id", "line")
 
 
+@_query(
+    f"""WITH {_ORDERS}, u AS (
+    SELECT project_id, project_id || ':' || path AS entity_id, 'file' AS entity_type, path AS file_path, path AS qualified_name, 1 AS start_line, 5 AS end_line,
+      'from models import Customer' || chr(10) || chr(10) || chr(10) || 'def settle(c: Customer):' || chr(10) || '    ...' AS text FROM o
+    UNION ALL SELECT project_id, project_id || ':' || path || ':settle', 'function', path, 'settle', 4, 5, 'def settle(c: Customer):' || chr(10) || '    return c.pay()' FROM o
+    UNION ALL SELECT project_id, project_id || ':models.py:Customer', 'class', 'models.py', 'Customer', 1, 3, 'class Customer:' || chr(10) || '    def pay(self):' || chr(10) || '        ...' FROM c
+    UNION ALL SELECT project_id, project_id || ':models.py:Customer.pay', 'method', 'models.py', 'Customer.pay', 2, 3, '    def pay(self):' || chr(10) || '        return 1' FROM c)
+    SELECT project_id, entity_id || '|1' AS id, entity_type, start_line, end_line,
+      sha256('model-1' || chr(10) || 'python ' || CASE WHEN entity_type = 'file' THEN 'module code' ELSE entity_type END || ' ' || qualified_name || chr(10) || 'file: ' || file_path || chr(10) || chr(10) || text) AS content_hash FROM u""",
+    False,
+)
+def source_chunks(spark, sf_dir):
+    """Chunks of every file, with the hash of what is embedded of them."""
+    files = _source_files(spark, sf_dir)
+    return C.chunks(files, X.analysed(files)).select("project_id", "id", "entity_type", "start_line", "end_line", C.content_hash("model-1").alias("content_hash"))
+
+
 # Hybrid retrieval: three fixed lists of hits over the graph.
 
 _HITS = "(1, 'a', 'class:1', 0.9), (1, 'b', 'interface:2', 0.8), (1, 'c', 'class:1', 0.95), (2, 'd', 'file:3', 0.7), (2, 'e', 'function:5', 0.7), (3, 'f', 'method:7', 0.6), (3, 'g', 'nothing', 0.9)"

@@ -36,6 +36,13 @@ def analysed(spark, shop):
     return X.analysed(tree.files(tree.scan(spark, str(shop), "p"))).cache()
 
 
+@pytest.fixture(scope="module")
+def resolved(analysed):
+    from codeweft.sources.tables import written
+
+    return written(X.resolved(analysed), "resolved")
+
+
 def test_scan_keeps_package_files_and_order(spark, shop):
     got = tree.scan(spark, str(shop), "p").orderBy("scan_ord").collect()
     assert [r.path for r in got if r.admitted] == ["broken.py", "shop/__init__.py", "shop/_internal.py", "shop/empty.py", "shop/models.py", "web/app.js"]
@@ -68,8 +75,8 @@ def test_entities(analysed):
     assert {r.path: r.reason.split(":")[0] for r in X.parse_failures(analysed).collect()} == {"broken.py": "SyntaxError", "web/app.js": "no parser for javascript"}
 
 
-def test_edges(analysed):
-    got = {(r.type, r.source_id.removeprefix("p:"), r.target_id.removeprefix("p:")) for r in X.edges(analysed, X.resolved(analysed)).collect() if r.type != "CONTAINS"}
+def test_edges(analysed, resolved):
+    got = {(r.type, r.source_id.removeprefix("p:"), r.target_id.removeprefix("p:")) for r in X.edges(analysed, resolved).collect() if r.type != "CONTAINS"}
     m, i = "shop/models.py", "shop/_internal.py"
     assert got == {
         ("IMPORTS", "shop/__init__.py", m), ("IMPORTS", i, "shop/__init__.py"), ("IMPORTS", i, m), ("INHERITS", f"{m}:Item", f"{m}:Base"),
@@ -79,17 +86,36 @@ def test_edges(analysed):
     }
 
 
-def test_unresolved(analysed):
-    got = {(r.type, r.target_name, r.reason) for r in X.unresolved(X.resolved(analysed)).collect()}
+def test_unresolved(resolved):
+    got = {(r.type, r.target_name, r.reason) for r in X.unresolved(resolved).collect()}
     assert got == {("IMPORTS", "os", "external"), ("CALLS", "os.getcwd", "external")}
+    assert {r.type: r.n for r in X.relationship_counts(resolved).collect()} == {"IMPORTS": 3, "INHERITS": 1, "CALLS": 6, "USES": 1}
+    assert {r.reason: r.n for r in X.unresolved_counts(resolved).collect()} == {"external": 2}
 
 
-def test_conflicting_types_are_unknown(spark):
-    code = b"class A:\n    def f(self):\n        pass\n\n\nclass B:\n    pass\n\n\ndef g():\n    x = A()\n    x = B()\n    x.f()\n    g()\n"
-    files = spark.createDataFrame([("p", "a.py", "python", 0, "", bytearray(code))], "project_id string, path string, language string, scan_ord int, sha256 string, content binary")
-    found = X.resolved(X.analysed(files))
-    assert {(r.target_name, r.reason) for r in X.unresolved(found).collect()} == {("x.f", "unknown_receiver")}
-    assert ("p:a.py:g", "p:a.py:g") in {(r.source_id, r.target_id) for r in found.collect()}
+def test_rules_of_resolution(spark):
+    """Conflicting types, multiple inheritance, own type, super, re-exports, wildcards, roots, self edges, reasons."""
+    texts = {
+        "a.py": "class A:\n    def f(self):\n        pass\n\n\nclass B:\n    def f(self):\n        pass\n\n    def only(self):\n        pass\n\n\nclass C(A, B):\n    def g(self, other: 'C'):\n        self.f()\n        super().only()\n        super().gone()\n        self.gone()\n\n\ndef g():\n    x = A()\n    x = B()\n    x.f()\n    g()\n    self.f()\n    g.more()\n",
+        "pkg/__init__.py": "from .inner import Thing as Public\nfrom .wild import *\n", "pkg/inner.py": "class Thing:\n    part: 'Part'\n\n\nclass Part:\n    def turn(self):\n        pass\n", "pkg/wild.py": "def starred():\n    pass\n",
+        "use.py": "import pkg\nimport pkg.inner\nfrom pkg import Public, starred, missing\nimport nowhere.deep\n\n\ndef run():\n    t = Public()\n    t.part.turn()\n    starred()\n    pkg.inner.Part()\n    pkg.Public()\n    missing()\n    nowhere.deep.f()\n    t.part.none()\n    undefined()\n    undefined.f()\n",
+        "one/m.py": "def f():\n    pass\n", "one/app.py": "import m\nm.f()\n", "x/deep/m.py": "", "x/m.py": "", "x/deep/app.py": "import m\n", "cycle.py": "from cycle import y as z, z as y\ny()\n", "Own.py": "class Own(Own):\n    pass\n",
+    }
+    rows = [("p", p, "python", k, "", bytearray(t.encode())) for k, (p, t) in enumerate(texts.items())]
+    found = X.resolved(X.analysed(spark.createDataFrame(rows, "project_id string, path string, language string, scan_ord int, sha256 string, content binary"))).collect()
+    edges = {(r.type, r.source_id[2:], r.target_id[2:]) for r in found if r.reason is None}
+    assert edges == {
+        ("INHERITS", "a.py:C", "a.py:A"), ("INHERITS", "a.py:C", "a.py:B"), ("CALLS", "a.py:C.g", "a.py:A.f"), ("CALLS", "a.py:C.g", "a.py:B.only"), ("USES", "a.py:C.g", "a.py:C"),
+        ("CALLS", "a.py:g", "a.py:A"), ("CALLS", "a.py:g", "a.py:B"), ("CALLS", "a.py:g", "a.py:g"),
+        ("IMPORTS", "pkg/__init__.py", "pkg/inner.py"), ("IMPORTS", "pkg/__init__.py", "pkg/wild.py"), ("IMPORTS", "use.py", "pkg/__init__.py"), ("IMPORTS", "use.py", "pkg/inner.py"),
+        ("CALLS", "use.py:run", "pkg/inner.py:Thing"), ("CALLS", "use.py:run", "pkg/inner.py:Part.turn"), ("CALLS", "use.py:run", "pkg/wild.py:starred"), ("CALLS", "use.py:run", "pkg/inner.py:Part"),
+        ("IMPORTS", "one/app.py", "one/m.py"), ("CALLS", "one/app.py", "one/m.py:f"), ("USES", "pkg/inner.py:Thing", "pkg/inner.py:Part"),
+    }
+    assert {(r.type, r.source_id[2:], r.target_id, r.reason) for r in found if r.reason} == {
+        ("CALLS", "a.py:C.g", "<super>.gone", "not_found"), ("CALLS", "a.py:C.g", "<self>.gone", "not_found"), ("CALLS", "a.py:g", "x.f", "unknown_receiver"), ("CALLS", "a.py:g", "<self>.f", "not_found"), ("CALLS", "a.py:g", "g.more", "not_found"),
+        ("IMPORTS", "use.py", "nowhere.deep", "external"), ("CALLS", "use.py:run", "missing", "not_found"), ("CALLS", "use.py:run", "nowhere.deep.f", "external"), ("CALLS", "use.py:run", "t.part.none", "not_found"),
+        ("CALLS", "use.py:run", "undefined", "not_found"), ("CALLS", "use.py:run", "undefined.f", "unknown_receiver"), ("IMPORTS", "x/deep/app.py", "m", "ambiguous"), ("CALLS", "cycle.py", "y", "not_found"), ("INHERITS", "Own.py:Own", "Own", "not_found"),
+    }
 
 
 def test_diff(spark):
@@ -119,7 +145,6 @@ def test_incremental_equals_full(spark, tmp_path):
     assert {k: v for k, v in again.changes.items() if k.startswith("files")} == {"files_modified": 1, "files_deleted": 1, "files_unchanged": 4}
     assert again.changes["nodes_insert"] == 1 and again.changes["nodes_delete"] == 1
     assert graph(again) == graph(I.run(spark, files({}), str(tmp_path / "other"), "s"))
-    assert I.run(spark, files({}), index, "other settings").mode == "full"
 
 
 def test_chunk_plan(spark):
@@ -131,9 +156,12 @@ def test_chunk_plan(spark):
     assert {tuple(r) for r in chunk_plan(old, new).collect()} == {("a", "reuse"), ("b", "update"), ("c", "embed"), ("d", "delete"), ("e", "embed")}
 
 
-def test_micro_batches_follow_versions(spark, tmp_path):
+def test_micro_batches_follow_versions(spark, tmp_path, monkeypatch):
+    """Versions in, entities out; resolution has tests of its own."""
     from codeweft.streaming import changes
 
+    monkeypatch.setattr(X, "resolved", lambda files: spark.createDataFrame([], f"project_id string, {X.EDGE}"))
+
     def add(version, path, text, deleted=False):
         row = ("p", path, "python", 1, version, bytearray(text.encode()), version, deleted)
         spark.createDataFrame([row], changes.VERSIONS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
