@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from codeweft.llm._common import SPACE, documents, small, text_of, written
 
-BITS_PER_ROW = 16
+#: Groups of more ids than this are joined by broadcast, so that no task gets all rows of one.
+BITS_PER_ROW, HOT_IDS = 16, 1000
 
 
 def normalised(text_col: str = "text") -> Column:
@@ -58,9 +59,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     thin = written(docs.select(F.col(id_col).alias("_id"), _digest(text_col).alias("_sha")), "digests")
     flagged = with_repeat_flag(thin, *repeated_bits(thin))
     alone = flagged.where("not _maybe").select("_id", "_sha", F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
-    rows = flagged.where("_maybe").groupBy("_sha", "_id").agg(F.count("*").alias("n"))
-    groups = rows.groupBy("_sha").agg(F.min("_id").alias("keep_id"), F.sum("n").alias("group_size"))
-    copies = rows.join(groups, "_sha").select("*", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("i"))
+    rows = written(flagged.where("_maybe").groupBy("_sha", "_id").agg(F.count("*").alias("n")), "repeated")
+    groups = written(rows.groupBy("_sha").agg(F.min("_id").alias("keep_id"), F.sum("n").alias("group_size"), F.count("*").alias("_ids")), "groups")
+    hot, cold = small(groups.where(F.col("_ids") > HOT_IDS), 64), groups.where(F.col("_ids") <= HOT_IDS)
+    apart = rows.join(small(hot.select("_sha"), 32), "_sha", "left_anti").join(cold, "_sha")
+    copies = rows.join(hot, "_sha").union(apart).select("*", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("i"))
     met = copies.select("_id", "_sha", "keep_id", "group_size", (F.col("_id").eqNullSafe(F.col("keep_id")) & (F.col("i") == 1)).alias("kept"))
     return alone.union(met).select(F.col("_id").alias(id_col), "keep_id", "group_size", "kept", F.lower(F.hex("_sha")).alias("text_sha256"))
 
@@ -71,7 +74,9 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     bits, words = repeated_bits(thin)
     keep = with_repeat_flag(thin, bits, words).where("_maybe").groupBy("_sha").agg(F.min("_id").alias("_keep"))
     rows = with_repeat_flag(docs.select(F.struct("*").alias("_row"), _digest(text_col).alias("_sha")), bits, words)
-    met = rows.where("_maybe").join(keep, "_sha").where(F.col(f"_row.`{id_col}`").eqNullSafe(F.col("_keep")))
+    # by text and id, so that the copies of one text are dealt to many tasks
+    found = rows.where("_maybe").withColumn("_id", F.col(f"_row.`{id_col}`")).alias("r")
+    met = found.join(keep.alias("k"), (F.col("r._sha") == F.col("k._sha")) & F.col("_id").eqNullSafe(F.col("_keep"))).select("r._sha", "_row")
     one = met.groupBy("_sha").agg(F.first("_row").alias("_row"))
     return rows.where("not _maybe").select("_row").union(one.select("_row")).select("_row.*")
 

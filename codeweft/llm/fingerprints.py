@@ -49,7 +49,7 @@ def fingerprint(df: DataFrame, text: Column, out: str) -> DataFrame:
     ahead = ", ".join(f"_w[i + {k}]" for k in range(1, RUN))
     runs = f"case when size(_w) < {RUN} then array(xxhash64(_w) & {MASK}L) else transform(slice(_w, 1, size(_w) - {RUN - 1}), (x, i) -> xxhash64(x, {ahead}) & {MASK}L) end"
     none = f"array({', '.join(f'{(j << 32) | EMPTY}L' for j in range(BINS))})"
-    df = df.withColumn("_n", F.size("_w")).withColumn("_s", F.expr(f"array_sort(concat({runs}, {none}))"))
+    df = df.withColumn("_n", F.size("_w")).withColumn("_s", F.expr(f"sort_array(concat({runs}, {none}))"))
     # sorted, a bin's first entry is its least
     df = df.withColumn("_s", F.expr("filter(_s, (x, i) -> i = 0 or shiftright(x, 32) <> shiftright(_s[i - 1], 32))"))
     filled = f"if((x & {EMPTY}L) <> {EMPTY}L, x, coalesce({', '.join(_first_filled(n) for n in STEPS)}))"
@@ -84,8 +84,9 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, W
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with a column fingerprint."""
-    return fingerprint(docs.withColumn("_t", text_of(text_col)), F.col("_t"), "fingerprint").drop("_t")
+    """docs with a column fingerprint, which replaces one of that name; all others stay."""
+    rows = docs.select(F.struct("*").alias("_row"), text_of(text_col).alias("_t"))
+    return fingerprint(rows, F.col("_t"), "_f").select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c != "fingerprint"], F.col("_f").alias("fingerprint"))
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

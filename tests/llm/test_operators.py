@@ -46,6 +46,37 @@ def test_exact_groups(docs, empty):
     assert kept.columns == docs.columns and kept.count() == len({norm(t) for _, t, _ in TEXTS})
 
 
+def test_hot_group_of_copies(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "HOT_IDS", 3)
+    rows = [(k, "hot  text") for k in range(9, 0, -1)] + [(20, "cold"), (21, "cold"), (22, "alone"), (9, "hot text")]
+    got = exact_dedup.exact_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got) == sorted([(k, 1, 10, k == 1) for k in [*range(1, 10), 9]] + [(20, 20, 2, True), (21, 20, 2, False), (22, 22, 1, True)])
+    left = exact_dedup.drop_exact_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in left) == [1, 20, 22]
+
+
+def test_fingerprints_against_plain_bins(spark):
+    """Bins filled by a plain loop over the runs' hashes; equal texts of other white space; clashing columns."""
+    rows = [(k, " ".join(f"w{(i * (k + 3)) % 50}" for i in range(n))) for k, n in enumerate([1, 4, 5, 6, 60, 900, 5000])] + [(7, ""), (8, None)]
+    made = spark.createDataFrame([(*r, "own", "own") for r in rows], "doc_id long, text string, _t string, _s string")
+    got = {r.doc_id: r for r in fingerprints.fingerprints(made).collect()}
+    assert all(r._t == r._s == "own" for r in got.values()) and fingerprints.fingerprints(made).columns == [*made.columns, "fingerprint"]
+    lists = [(k, [tuple(w[i : i + 5]) for i in range(len(w) - 4)] if len(w) > 4 else [tuple(w)]) for k, w in ((k, (t or "").split()) for k, t in rows)]
+    runs = spark.createDataFrame([(k, list(r)) for k, rs in lists for r in set(rs)], "k long, r array<string>")
+    hashed = {5: runs.where("size(r) = 5").selectExpr("k", "xxhash64(r[0], r[1], r[2], r[3], r[4]) h"), 0: runs.where("size(r) < 5").selectExpr("k", "xxhash64(r) h")}
+    start, stride = fingerprints._drawn(1), fingerprints._drawn(2)
+    for k, t in rows:
+        if not (t or "").split():
+            assert got[k].fingerprint == ""
+            continue
+        bins = [None] * fingerprints.BINS
+        for h in (r.h & fingerprints.MASK for df in hashed.values() for r in df.where(f"k = {k}").collect()):
+            j, v = h >> 32, h & 0x7FFFFFFF
+            bins[j] = v if bins[j] is None else min(v, bins[j])
+        walk = lambda j: next(bins[b] for b in ((start[j] + a * (stride[j] | 1)) % fingerprints.BINS for a in range(1, fingerprints.BINS + 1)) if bins[b] is not None)  # noqa: B023, E731
+        assert got[k].fingerprint == "".join("0123456789abcdef"[(walk(j) if v is None else v) & 15] for j, v in enumerate(bins))
+
+
 def test_substring(docs, empty):
     got = {(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.remove_repeated(docs).collect()}
     assert substring_dedup.remove_repeated(empty).count() == 0
