@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 
 WORD_BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
-SLICE_BYTES = 1 << 18
+SLICE_BYTES = 1 << 20
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, *range(9, 14)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -49,11 +49,16 @@ def rolling(values: np.ndarray, k: int, base: int) -> np.ndarray:
     return mixed((sums[k:] - sums[:-k]) * powers(pow(base, -1, 1 << 64), n))
 
 
+def coded(body: np.ndarray, cuts: np.ndarray) -> pa.DictionaryArray:
+    """The strings body[cuts[i]:cuts[i + 1]] as numbers of the distinct ones."""
+    strings = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(np.ascontiguousarray(cuts, dtype=np.int64)), pa.py_buffer(np.ascontiguousarray(body))])
+    return strings.dictionary_encode()
+
+
 def numbered(body: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
     """The number of each string body[cuts[i]:cuts[i + 1]] among the distinct ones, and these."""
-    strings = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(np.ascontiguousarray(cuts, dtype=np.int64)), pa.py_buffer(np.ascontiguousarray(body))])
-    coded = strings.dictionary_encode()
-    return coded.indices.to_numpy(), coded.dictionary.to_pylist()
+    found = coded(body, cuts)
+    return found.indices.to_numpy(), found.dictionary.to_pylist()
 
 
 def byte_hashes(strings: list[bytes]) -> np.ndarray:
@@ -79,14 +84,17 @@ class Words:
         self.ends = np.flatnonzero(inside & ~after) + 1
         self.first = np.searchsorted(self.starts, offsets)
 
-    def numbers(self) -> tuple[np.ndarray, list[bytes]]:
-        """The number of each word among the distinct ones, and these."""
-        return numbered(self.data[self.inside], np.concatenate([[0], np.cumsum(self.ends - self.starts)]))
+    def coded(self) -> pa.DictionaryArray:
+        return coded(self.data[self.inside], np.concatenate([[0], np.cumsum(self.ends - self.starts)]))
+
+    def numbers(self) -> np.ndarray:
+        """The number of each word among the distinct ones."""
+        return self.coded().indices.to_numpy()
 
     def hashes(self) -> tuple[np.ndarray, np.ndarray]:
         """Two independent 64-bit hashes of each word, over its bytes."""
-        which, words = self.numbers()
-        pairs = byte_hashes(words)
+        found = self.coded()
+        pairs, which = byte_hashes(found.dictionary.to_pylist()), found.indices.to_numpy()
         return pairs[which, 0], pairs[which, 1]
 
 

@@ -37,7 +37,7 @@ FEATURES = 13
 def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(passages x FEATURES, text of each passage) for some whole texts; each text has one passage at least."""
     words, n = Words(data, offsets), len(offsets) - 1
-    (hashes, _), count = words.numbers(), np.diff(words.first)
+    hashes, count = words.numbers(), np.diff(words.first)
     bags = np.maximum(1, -(-count // PASSAGE))
     of = np.repeat(np.arange(n), bags)
     x = np.zeros((len(of), FEATURES))
