@@ -92,13 +92,14 @@ def _is_in(df: DataFrame, ids: DataFrame, yes: bool) -> DataFrame | None:
     return df.join(F.broadcast(ids), ["key", "mark"], "left_semi" if yes else "left_anti")
 
 
-def repeated_windows(rows: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """rows: key, mark, text. For each row with windows to remove: key, mark and the sorted starts."""
+def repeated_windows(rows: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, unique: bool = False) -> DataFrame:
+    """rows: key, mark, text; unique: no two with one key and mark. For each row with windows to remove: key, mark and the sorted starts."""
     anchors = written(rows.mapInArrow(_anchor_rows(window, anchor), "anchor long, key long, mark long"), "anchors")
     shared = anchors.groupBy("anchor").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select("anchor")
     lists = written(anchors.join(shared, "anchor").groupBy("key", "mark").agg(F.collect_set("anchor").alias("anchors")), "shared-anchors")
     near = _is_in(rows, lists.select("key", "mark"), True)
-    near = (rows if near is None else near).dropDuplicates(["key", "mark"]).join(lists, ["key", "mark"])
+    near = rows if near is None else near
+    near = (near if unique else near.dropDuplicates(["key", "mark"])).join(lists, ["key", "mark"])
     found = near.select("key", "mark", "text", "anchors").mapInArrow(_window_rows(window, anchor), "h1 long, h2 int, key long, mark long, at int")
     found = written(found, "windows")
     first = found.groupBy("h1", "h2").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select("h1", "h2", "lo")
@@ -155,7 +156,7 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     repeated = docs.groupBy(id_key(id_col).alias("key")).count().where("count > 1").limit(1).count()
     mark = F.xxhash64(text_of(text_col)) if repeated else F.lit(0).cast("long")  # tells rows with one id apart
     rows = docs.select(id_key(id_col).alias("key"), mark.alias("mark"), text_of(text_col).alias("text"), F.col(id_col).alias("id"))
-    starts = written(repeated_windows(rows.select("key", "mark", "text"), window, anchor), "starts")
+    starts = written(repeated_windows(rows.select("key", "mark", "text"), window, anchor, not repeated), "starts")
     schema = f"id {kind}, n_words long, n_removed long, kept_sha256 string, intervals array<struct<begin: long, end: long>>" + ", kept string" * with_text
     ids = starts.select("key", "mark")
     hit, rest = _is_in(rows, ids, True), _is_in(rows, ids, False)
