@@ -38,7 +38,7 @@ class UnsafePath(ValueError):
 
 
 class ImportTooLarge(ValueError):
-    """A folder or archive beyond the limits of an import."""
+    """An archive beyond the limits of an import."""
 
 
 def language(path: str) -> str | None:
@@ -102,10 +102,7 @@ class _Reader(DataSourceReader):
 
 class _TreeReader(_Reader):
     def partitions(self):
-        found = list(listed(self.root))
-        if len(found) > MAX_ENTRIES or sum(n for _, n, _ in found) > MAX_TOTAL_BYTES:
-            raise ImportTooLarge(self.root)
-        return _split((k, p, n, wanted(p, n, self.limit) and not link, p) for k, (p, n, link) in enumerate(found))
+        return _split((k, p, n, wanted(p, n, self.limit) and not link, p) for k, (p, n, link) in enumerate(listed(self.root)))
 
     def read(self, partition):
         for ord_, path, size, take, name in partition.files:
@@ -142,10 +139,12 @@ class _ZipReader(_Reader):
         paths = {}
         for m in members:
             path = member_path(m.filename)
-            if not stat.S_ISLNK(m.external_attr >> 16) and not IGNORED & set(path.split("/")[:-1]):
+            if not stat.S_ISLNK(m.external_attr >> 16):
                 paths[path] = m
+        # one folder at the top is the root; folders that are not read count as well
         tops = {p.split("/")[0] for p in paths}
         cut = len(next(iter(tops))) + 1 if len(tops) == 1 and all("/" in p for p in paths) else 0
+        paths = {p: m for p, m in paths.items() if not IGNORED & set(p[cut:].split("/")[:-1])}
         order = sorted(paths, key=lambda p: [(1, x) for x in p[cut:].split("/")[:-1]] + [(0, p.rsplit("/", 1)[-1])])
         return _split((k, p[cut:], paths[p].file_size, wanted(p, paths[p].file_size, self.limit), paths[p].filename) for k, p in enumerate(order))
 

@@ -59,6 +59,13 @@ def test_zip_gives_the_same_files(spark, shop, tmp_path):
     assert sorted(map(tuple, a)) == sorted(map(tuple, b))
 
 
+def test_zip_root_beside_a_folder_that_is_not_read(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "b.zip", "w") as z:
+        z.writestr("app/a.py", "x = 1")
+        z.writestr("node_modules/b.py", "x = 1")
+    assert [r.path for r in tree.scan(spark, str(tmp_path / "b.zip"), "p").collect()] == ["app/a.py"]
+
+
 @pytest.mark.parametrize("name", ["../x.py", "/x.py", "c:\\x.py", "a/../../x.py", "", "./"])
 def test_unsafe_members(name):
     with pytest.raises(tree.UnsafePath):
