@@ -106,24 +106,32 @@ def reachable(edges: DataFrame, starts: DataFrame, types: Iterable[str] | None,
 
 
 def shortest_paths(edges: DataFrame, source: str, target: str, depth: int, limit: int, types: Iterable[str] | None = None, directed: bool = True) -> DataFrame:
-    """All shortest paths from source to target as arrays of node ids; one of length 0 where they are equal."""
+    """The first `limit` shortest paths from source to target: `path` (node ids) and `edge_ids`, one row for each choice
+    of parallel edges; one path of length 0 where both are equal. Undirected walks take each edge both ways.
+
+    Paths are ordered by node, then edge, step by step, so the first `limit` to each node of a level hold all that can
+    lead to the first `limit` at the target: no level keeps more than that for a node."""
     spark = edges.sparkSession
-    one = spark.createDataFrame([([source],)], "path array<string>")
+    one = spark.createDataFrame([([source], [])], "path array<string>, edge_ids array<string>")
     if source == target:
         return one
-    hop = oriented(edges, types, "outgoing").select("here", "there")
+    hop = oriented(edges, types, "outgoing").select("here", "there", F.col("id").alias("edge"))
     if not directed:
-        hop = hop.union(hop.select("there", "here"))
-    hop = written(hop.distinct(), "hops")
-    front, seen = one.withColumn("id", F.lit(source)), spark.createDataFrame([(source,)], "id string")
+        hop = hop.union(hop.where("here <> there").select("there", "here", "edge"))
+    hop = written(hop, "hops")
+    front = one.select(*one.columns, F.lit(source).alias("id"), F.array(F.lit(source)).alias("steps"))
+    seen = spark.createDataFrame([(source,)], "id string")
     for _ in range(checked_depth(depth)):
         step = front.join(hop, F.col("id") == F.col("here")).join(seen.select(F.col("id").alias("there")), "there", "left_anti")
-        front = written(step.select(F.concat("path", F.array("there")).alias("path"), F.col("there").alias("id")), "paths")
+        grown = step.select(
+            F.concat("path", F.array("there")).alias("path"), F.concat("edge_ids", F.array("edge")).alias("edge_ids"), F.col("there").alias("id"), F.concat("steps", F.array("there", "edge")).alias("steps")
+        )
+        front = written(grown.withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy("steps"))).where(F.col("_n") <= limit).drop("_n"), "paths")
         done = front.where(F.col("id") == target)
         if done.limit(1).count():
-            return done.select("path").orderBy("path").limit(limit)
+            return done.orderBy("steps").limit(limit).select("path", "edge_ids")
         seen = written(seen.union(front.select("id")).distinct(), "seen")
-    return front.where("false").select("path")
+    return front.where("false").select("path", "edge_ids")
 
 
 def contained(edges: DataFrame, starts: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:

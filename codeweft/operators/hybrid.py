@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from codeweft.sources.tables import written
+
 MAX_SEEDS, MAX_NEIGHBORS, MAX_ENTITIES = 5, 5, 40
 _CONTAINER = ("container", "CONTAINS", "in", 1)
 _MEMBERS = ("members", "CONTAINS", "out", None)
@@ -77,3 +79,83 @@ def sources(hits: DataFrame, entities: DataFrame, nodes: DataFrame) -> DataFrame
     graph = own.select("query_id", F.lit("graph").alias("origin"), "entity_id", *place, F.struct(F.lit(1).alias("a"), F.col("position").alias("b")).alias("at"))
     first = chunks.unionByName(graph).withColumn("_n", F.row_number().over(Window.partitionBy("query_id", *place).orderBy("at"))).where("_n = 1")
     return first.withColumn("number", F.row_number().over(Window.partitionBy("query_id").orderBy("at"))).select("query_id", "number", "origin", "entity_id", *place)
+
+
+#: How far settings may go.
+RANGES = {"top_k": (1, 50), "max_seeds": (1, 20), "max_neighbors": (1, 50), "max_entities": (1, 200), "path_seeds": (0, 5), "path_depth": (1, 5)}
+
+
+def checked_settings(**settings: int) -> dict[str, int]:
+    """Settings within their ranges, or ValueError."""
+    for name, value in settings.items():
+        low, high = RANGES[name]
+        if isinstance(value, bool) or not isinstance(value, int) or not low <= value <= high:
+            raise ValueError(f"{name} must be a whole number from {low} to {high}")
+    return settings
+
+
+def own_hits(hits: DataFrame, project_id: str) -> tuple[DataFrame, DataFrame]:
+    """(hits of the project, dropped hits by query): ids begin with the project's."""
+    own = F.startswith(F.col("entity_id"), F.lit(project_id + ":"))
+    return hits.where(own), hits.where(~F.coalesce(own, F.lit(False))).groupBy("query_id").agg(F.count("*").alias("dropped"))
+
+
+def connect(seeds_: DataFrame, nodes: DataFrame, edges: DataFrame, expanded: DataFrame, path_seeds: int = 3, depth: int = 3) -> DataFrame:
+    """One shortest path between each two of a query's first seeds: query_id, a, b, path, edge_ids.
+
+    All pairs of all queries walk together, forward and back; a forward path is preferred where both ways have
+    the same length or not: back is taken only where no forward path exists. A path is kept when it has more than one
+    edge, or an edge that expand() did not find. Each level keeps one path for each (query, pair, way, node): the
+    first by its steps."""
+    checked_settings(path_seeds=path_seeds, path_depth=depth)
+    known = seeds_.join(nodes.select(F.col("id").alias("entity_id")), "entity_id", "left_semi").where(F.col("seed_rank") <= path_seeds)
+    x, y = known.select("query_id", F.col("entity_id").alias("a"), F.col("seed_rank").alias("i")), known.select("query_id", F.col("entity_id").alias("b"), F.col("seed_rank").alias("j"))
+    pairs = written(x.join(y, "query_id").where("i < j"), "seed-pairs")
+    ways = pairs.select("query_id", "a", "b", F.lit(0).alias("way"), F.col("a").alias("start"), F.col("b").alias("goal")).unionByName(
+        pairs.select("query_id", "a", "b", F.lit(1).alias("way"), F.col("b").alias("start"), F.col("a").alias("goal"))
+    )
+    hop = written(edges.select(F.col("source_id").alias("here"), F.col("target_id").alias("there"), F.col("id").alias("edge")), "hops")
+    key = ["query_id", "a", "b", "way"]
+    front = ways.select(*key, "goal", F.col("start").alias("id"), F.array("start").alias("steps"), F.array().cast("array<string>").alias("edge_ids"), F.array("start").alias("path"))
+    seen, done = front.select(*key, "id"), None
+    for _ in range(depth):
+        step = front.join(hop, F.col("id") == F.col("here")).select(
+            *key, "goal", F.col("there").alias("id"), F.concat("steps", F.array("there", "edge")).alias("steps"), F.concat("edge_ids", F.array("edge")).alias("edge_ids"), F.concat("path", F.array("there")).alias("path")
+        )
+        new = step.join(seen, [*key, "id"], "left_anti").groupBy(*key, "goal", "id").agg(F.min(F.struct("steps", "edge_ids", "path")).alias("p"))
+        front = written(new.select(*key, "goal", "id", "p.*"), "seed-paths")
+        at_goal = front.where("id = goal")
+        done = at_goal if done is None else done.unionByName(at_goal)
+        seen = seen.unionByName(front.select(*key, "id"))
+        # a way that has arrived walks no further
+        front = front.join(at_goal.select(*key), key, "left_anti")
+    best = done.withColumn("_n", F.row_number().over(Window.partitionBy("query_id", "a", "b").orderBy("way"))).where("_n = 1")
+    old = expanded.groupBy("query_id").agg(F.collect_set("edge_id").alias("_old"))
+    fresh = (F.size("edge_ids") > 1) | ~F.exists("edge_ids", lambda e: F.array_contains(F.coalesce("_old", F.array().cast("array<string>")), e))
+    return best.join(old, "query_id", "left").where(fresh).select("query_id", "a", "b", "path", "edge_ids")
+
+
+def status(seeds_: DataFrame, nodes: DataFrame, expanded: DataFrame) -> DataFrame:
+    """query_id, status, seeds, missing, expanded: complete where the graph has all seeds of the query, partial where
+    it lacks some, unavailable where it has none."""
+    here = nodes.select(F.col("id").alias("entity_id"), F.lit(1).alias("_in"))
+    n = seeds_.join(here, "entity_id", "left").groupBy("query_id").agg(F.count("*").alias("seeds"), F.count_if(F.col("_in").isNull()).alias("missing"))
+    found = expanded.groupBy("query_id").agg(F.count("*").alias("expanded"))
+    how = F.when(F.col("missing") == 0, "complete").when(F.col("missing") < F.col("seeds"), "partial").otherwise("unavailable")
+    return n.join(found, "query_id", "left").select("query_id", how.alias("status"), "seeds", "missing", F.coalesce("expanded", F.lit(0)).alias("expanded"))
+
+
+def outline(entities: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(query_id, outline): a readable line for each entity of a context, in order."""
+    rows = entities.join(nodes.select(F.col("id").alias("entity_id"), "entity_type", "qualified_name", "file_path", "start_line"), "entity_id")
+    line = F.concat(F.col("position").cast("string"), F.lit(". "), "entity_type", F.lit(" "), "qualified_name", F.lit(" ("), "file_path", F.lit(":"), F.col("start_line").cast("string"), F.lit(")"))
+    lists = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("position", line.alias("line")))).alias("_l"))
+    return lists.select("query_id", F.array_join(F.col("_l.line"), "\n").alias("outline"))
+
+
+def build_context(hits: DataFrame, nodes: DataFrame, edges: DataFrame, max_seeds: int = MAX_SEEDS, max_neighbors: int = MAX_NEIGHBORS, max_entities: int = MAX_ENTITIES, path_seeds: int = 3, path_depth: int = 3) -> dict[str, DataFrame]:
+    """All of a context, for many questions at once: seeds, expanded, paths, entities, status."""
+    checked_settings(max_seeds=max_seeds, max_neighbors=max_neighbors, max_entities=max_entities, path_seeds=path_seeds, path_depth=path_depth)
+    s = written(seeds(hits, max_seeds), "seeds")
+    x = written(expand(s, nodes, edges, max_neighbors), "expanded")
+    return {"seeds": s, "expanded": x, "paths": connect(s, nodes, edges, x, path_seeds, path_depth), "entities": context_entities(s, x, max_entities), "status": status(s, nodes, x)}

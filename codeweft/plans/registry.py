@@ -122,11 +122,15 @@ def graph_reachable_d3(nodes, edges):
     return G.reachable(edges, nodes.where("id = 'file:3'"), ["IMPORTS", "DEPENDS_ON"], "outgoing", 3).select("id", "depth")
 
 
-@_on_graph("""w(path, id, n) AS (SELECT ['file:3'], 'file:3', 0 UNION ALL SELECT list_append(path, target_id), target_id, n + 1 FROM w
-    JOIN (SELECT DISTINCT source_id, target_id FROM edges WHERE type IN ('IMPORTS', 'DEPENDS_ON')) e ON source_id = w.id WHERE n < 4 AND w.id <> 'file:8' AND NOT list_contains(path, target_id)),
-    d AS (SELECT array_to_string(path, ' > ') AS path, n FROM w WHERE id = 'file:8') SELECT path FROM d WHERE n = (SELECT min(n) FROM d) ORDER BY path LIMIT 20""")
+@_on_graph("""w(path, edge_ids, steps, id, n) AS (SELECT ['file:3'], []::VARCHAR[], ['file:3'], 'file:3', 0 UNION ALL
+      SELECT list_append(path, target_id), list_append(edge_ids, e.id), list_concat(steps, [target_id, e.id]), target_id, n + 1 FROM w JOIN edges e ON source_id = w.id AND e.type IN ('IMPORTS', 'DEPENDS_ON')
+      WHERE n < 4 AND w.id <> 'file:8' AND NOT list_contains(path, target_id)),
+    d AS (SELECT * FROM w WHERE w.id = 'file:8')
+    SELECT array_to_string(path, ' > ') AS path, array_to_string(edge_ids, ' > ') AS edge_ids FROM d WHERE n = (SELECT min(n) FROM d) ORDER BY steps LIMIT 20""")
 def graph_shortest_paths(nodes, edges):
-    return G.shortest_paths(edges, "file:3", "file:8", 4, 20, ["IMPORTS", "DEPENDS_ON"]).select(F.array_join("path", " > ").alias("path"))
+    """One row for each choice of parallel edges."""
+    found = G.shortest_paths(edges, "file:3", "file:8", 4, 20, ["IMPORTS", "DEPENDS_ON"])
+    return found.select(F.array_join("path", " > ").alias("path"), F.array_join("edge_ids", " > ").alias("edge_ids"))
 
 
 def _impact_sql(entity_id: str, depth: int, types: str, limit: int = 300) -> str:

@@ -1,5 +1,5 @@
 """A property graph over the test tables: nations are files, customers classes, suppliers interfaces,
-orders methods and parts functions; lines of orders are the evidence of calls, uses and imports."""
+orders methods and parts functions; lines of orders are the evidence of calls, uses and imports; keys that of heritage."""
 
 from __future__ import annotations
 
@@ -33,6 +33,8 @@ SELECT type || ':' || source_id || '->' || target_id AS id, type, source_id, tar
 SELECT 'CONTAINS' AS type, parent_id AS source_id, id AS target_id, CAST(NULL AS INT) AS line FROM nodes WHERE parent_id IS NOT NULL
 UNION ALL SELECT 'CALLS', 'method:' || l_orderkey, 'interface:' || l_suppkey, CAST(MIN(l_linenumber) AS INT) FROM lineitem GROUP BY l_orderkey, l_suppkey
 UNION ALL SELECT 'USES', 'method:' || l_orderkey, 'function:' || l_partkey, CAST(MIN(l_linenumber) AS INT) FROM lineitem WHERE l_quantity >= 40 GROUP BY l_orderkey, l_partkey
+UNION ALL SELECT 'INHERITS', 'class:' || c_custkey, 'class:' || CAST(floor(c_custkey / 3.0) AS INT), 1 FROM customer WHERE c_custkey >= 3 AND c_custkey % 3 = 1
+UNION ALL SELECT 'IMPLEMENTS', 'class:' || c_custkey, 'interface:' || s_suppkey, 2 FROM customer JOIN supplier ON c_custkey % 40 = s_suppkey
 UNION ALL {_FILES.format(type="IMPORTS", more="")}
 UNION ALL {_FILES.format(type="DEPENDS_ON", more="AND l_tax >= 0.06")}
 )"""
