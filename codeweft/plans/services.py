@@ -232,3 +232,43 @@ def answer_warnings(spark, sf_dir):
     """Answers that cite a known source, an unknown one, or say that they can't answer."""
     c = _table(spark, sf_dir, "conversations").selectExpr("conv_id || ':' || turn AS answer_id", f"case turn % 3 when 0 then 'so it is [2]' when 1 then 'see [7]' else '{W.INSUFFICIENT}' end AS answer")
     return W.assembled(c, "answer_id", "answer", 5).select("answer_id", "cited", "unknown", F.array_join("warnings", "; ").alias("warnings"))
+
+
+# Java, JavaScript and TypeScript: each customer's name makes a class of each language.
+
+_TEXTS = {
+    "java": "package shop;\n\npublic class C{k} extends Base implements Pays {{\n  C{k}() {{}}\n  int pay(int n) {{ return n; }}\n}}\nclass Base {{}}\ninterface Pays {{ int pay(int n); }}\n",
+    "javascript": "class Base {{ }}\nexport class C{k} extends Base {{\n  pay(n) {{ return n; }}\n}}\nconst settle = (n) => n;\n",
+    "typescript": "interface Pays {{ pay(n: number): number; }}\nexport class C{k} implements Pays {{\n  pay(n: number): number {{ return n; }}\n}}\n",
+}
+_OWN = {
+    "java": [("class", "C{k}", 3, 6), ("method", "C{k}.C{k}", 4, 4), ("method", "C{k}.pay", 5, 5), ("class", "Base", 7, 7), ("interface", "Pays", 8, 8), ("method", "Pays.pay", 8, 8)],
+    "javascript": [("class", "Base", 1, 1), ("class", "C{k}", 2, 4), ("method", "C{k}.pay", 3, 3), ("function", "settle", 5, 5)],
+    "typescript": [("interface", "Pays", 1, 1), ("method", "Pays.pay", 1, 1), ("class", "C{k}", 2, 4), ("method", "C{k}.pay", 3, 3)],
+}
+
+
+def _brace_files(spark, sf_dir):
+    made = None
+    for language, text in _TEXTS.items():
+        name = F.concat(F.lit("c"), "c_custkey", F.lit({"java": ".java", "javascript": ".js", "typescript": ".ts"}[language]))
+        source = F.replace(F.lit(text.replace("{{", "{").replace("}}", "}")), F.lit("{k}"), F.col("c_custkey").cast("string"))
+        part = _table(spark, sf_dir, "customer").select(F.lit("p").alias("project_id"), name.alias("path"), F.lit(language).alias("language"), F.encode(source, "utf-8").alias("content"))
+        made = part if made is None else made.unionByName(part)
+    return made.withColumn("scan_ord", F.lit(0)).withColumn("sha256", F.sha2("content", 256))
+
+
+_BRACES = " UNION ALL ".join(
+    f"SELECT '{language}' AS language, '{kind}' AS entity_type, replace('{name}', '{{k}}', c_custkey::VARCHAR) AS qualified_name, {a} AS start_line, {b} AS end_line, 'p:c' || c_custkey || '{end}' AS file_id FROM customer"
+    for (language, own), end in zip(_OWN.items(), (".java", ".js", ".ts"))
+    for kind, name, a, b in own
+)
+
+
+@_query(f"SELECT language, entity_type, qualified_name, start_line, end_line, file_id || ':' || qualified_name AS id FROM ({_BRACES})", False)
+def source_entities_braces(spark, sf_dir):
+    """Definitions in Java, JavaScript and TypeScript files."""
+    from codeweft.operators import extract as X
+
+    found = X.table(X.analysed(_brace_files(spark, sf_dir)), "entities").where("entity_type <> 'file'")
+    return found.select("language", "entity_type", "qualified_name", "start_line", "end_line", "id")
