@@ -115,7 +115,7 @@ def largest_types(nodes: DataFrame, edges: DataFrame, limit: int = 8) -> DataFra
 
 
 def first_edges(edges: DataFrame, order: list[str]) -> DataFrame:
-    """One edge for each (source, type, target): the first in order."""
+    """One edge for each (source, type, target): the first in order, which has to leave no ties."""
     rank = F.row_number().over(Window.partitionBy("source_id", "type", "target_id").orderBy(*order))
     return edges.withColumn("_rn", rank).where("_rn = 1").drop("_rn")
 

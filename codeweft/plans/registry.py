@@ -246,8 +246,10 @@ _LINES = "(SELECT 'CALLS' AS type, 'o' || l_orderkey AS source_id, 's' || l_supp
 
 @_query(f"SELECT source_id, type, target_id, line, part FROM (SELECT *, row_number() OVER (PARTITION BY source_id, target_id ORDER BY line) AS rn FROM {_LINES}) WHERE rn = 1", False)
 def first_edge_dedup(spark, sf_dir):
-    e = _table(spark, sf_dir, "lineitem").selectExpr("'CALLS' AS type", "'o' || l_orderkey AS source_id", "'s' || l_suppkey AS target_id", "l_linenumber AS line", "l_partkey AS part")
-    return A.first_edges(e, ["line"]).select("source_id", "type", "target_id", "line", "part")
+    """Lines of one number are taken in the order of the file."""
+    place = ("_metadata.file_path AS _file", "_metadata.row_index AS _row")
+    e = _table(spark, sf_dir, "lineitem").selectExpr("'CALLS' AS type", "'o' || l_orderkey AS source_id", "'s' || l_suppkey AS target_id", "l_linenumber AS line", "l_partkey AS part", *place)
+    return A.first_edges(e, ["line", "_file", "_row"]).select("source_id", "type", "target_id", "line", "part")
 
 
 @_query("""SELECT l_orderkey, l_linenumber, CASE WHEN n = 1 THEN base ELSE base || '#' || n END AS id FROM (SELECT *, 'o' || l_orderkey || ':' || l_returnflag AS base,

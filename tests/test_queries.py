@@ -33,6 +33,19 @@ def test_query_matches_sql(spark, db, name):
     assert rows(got.select(*cols).collect()) == rows(want)
 
 
+def test_first_edges_of_equal_lines_are_those_first_in_the_file(spark, tmp_path):
+    """Files of several tasks, the larger ones (which Spark reads first) last by name."""
+    sf = str(tmp_path)
+    os.mkdir(f"{sf}/lineitem.parquet")
+    c = duckdb.connect()
+    for i in range(6):
+        c.execute(f"""copy (select 1 + k % 50 as l_orderkey, 1::BIGINT as l_suppkey, 1::INT as l_linenumber, 1000 * (6 - {i}) + (k * 7) % 1000 as l_partkey from range({1000 * (i + 1)}) t(k))
+            to '{sf}/lineitem.parquet/part-{i}.parquet' (format parquet, row_group_size 2048)""")
+    c.execute(f"create view lineitem as select * from '{sf}/lineitem.parquet/*.parquet'")
+    got = registry.QUERIES["first_edge_dedup"](spark, sf)
+    assert rows(got.collect()) == rows(c.execute(f"select {', '.join(got.columns)} from ({registry.SQL['first_edge_dedup']})").fetchall())
+
+
 def test_entry_has_rows(spark):
     import __spark_entry__
 
