@@ -24,6 +24,7 @@ others. Rows that repeat an id are documents of their own. An empty table gives
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +36,7 @@ from codeweft.llm._common import LAST_ID, bounded_batches, documents, id_key, sm
 from codeweft.llm._rolling import WORD_BASES, Words, mixed, rolling, signed, slices
 from codeweft.llm.components import connected
 
-RUN, PERCENT, BLOCK, GROUP_SHINGLES, SLOTS = 5, 80, 64, 4_000_000, 1 << 25
+RUN, PERCENT, BLOCK, GROUP_SHINGLES, SLOTS = 5, 80, 64, 4_000_000, 1 << 24
 #: One document of SAMPLE tells how common shingles are; one shingle of SPARE is added to the first ones.
 SAMPLE, SPARE = 8, 40
 #: The table of SLOTS is counted in so many parts; a task has about so many first shingles, and emits so many rows at once.
@@ -70,7 +71,7 @@ def dealt(part: np.ndarray, columns: list[np.ndarray], names: list[str]) -> pa.R
 
 
 def _sampled(run: int):
-    """Of each shingle 40 bits: the slot and 15 more."""
+    """Of each shingle 39 bits: the slot and 15 more."""
     size = SLOTS // SLOT_PARTS
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,7 +86,7 @@ def _sampled(run: int):
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The table's levels in each part."""
+    """The table's levels in each part, compressed."""
     held: dict[int, list[np.ndarray]] = {}
     for batch in batches:
         for part, rest in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -94,7 +95,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, n = np.unique(np.concatenate(pieces), return_counts=True)
         levels = np.zeros(SLOTS // SLOT_PARTS, dtype=np.uint8)
         np.maximum.at(levels, shingles[n > 1] >> np.uint32(15), np.log2(n[n > 1]).astype(np.uint8))
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([levels.tobytes()], pa.binary())], ["part", "levels"])
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([zlib.compress(levels.tobytes(), 1)], pa.binary())], ["part", "levels"])
 
 
 def commonness(rows: DataFrame, run: int = RUN) -> np.ndarray:
@@ -103,7 +104,7 @@ def commonness(rows: DataFrame, run: int = RUN) -> np.ndarray:
     sample = rows.where(F.pmod(F.xxhash64("key", "mark"), F.lit(SAMPLE)) == 0).select("text")
     found = sample.mapInArrow(_sampled(run), "part int, rest binary").repartition("part").mapInArrow(_count, "part int, levels binary")
     for r in found.toArrow().to_pylist():
-        out[r["part"] * size : (r["part"] + 1) * size] = np.frombuffer(r["levels"], dtype=np.uint8)
+        out[r["part"] * size : (r["part"] + 1) * size] = np.frombuffer(zlib.decompress(r["levels"]), dtype=np.uint8)
     return out
 
 
