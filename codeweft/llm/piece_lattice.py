@@ -26,8 +26,9 @@ an empty table.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +36,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeweft.llm._common import bounded_batches, documents, text_of, written
-from codeweft.llm._rolling import byte_hashes, gathered, numbered, slices
+from codeweft.llm._rolling import byte_hashes, gathered, numbered, signed, slices
 
 BLANK = "▁"
 #: Bytes of the table of units that is broadcast, longest unit of the native fold, bytes of text handled at once,
-#: units of a task whose edges are grouped in memory (some 1 kB each).
-TABLE_BYTES, FOLD_CHARS, RUN_BYTES, GROUPS = 96 << 20, 60, 1 << 20, 100_000
+#: units of a task whose edges are grouped in memory (some 1 kB each), bytes of the table that reach the driver at once.
+TABLE_BYTES, FOLD_CHARS, RUN_BYTES, GROUPS, PART_BYTES = 96 << 20, 60, 1 << 20, 100_000, 4 << 20
+TOP_BIT = np.uint64(1 << 63)
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -89,17 +91,33 @@ class Pieces:
         self.unknown = next((k for k, (_, _, kind) in enumerate(pieces) if kind == 2), 0)
         self.longest = max((len(p) for p, _, _ in self.rows), default=1)
         self.floor = min(self.score, default=0.0) - 10.0
-        parts = [bytes([int(p[3:5], 16)]) if kind == 6 else p.replace(BLANK, " ").encode() if kind in (1, 4) else b"" for p, _, kind in pieces]
-        self.part_bytes, self.part_sizes = np.frombuffer(b"".join(parts), np.uint8), np.array([len(p) for p in parts], np.int64)
-        self.part_starts = np.cumsum(self.part_sizes) - self.part_sizes
+        self.parts = [bytes([int(p[3:5], 16)]) if kind == 6 else p.replace(BLANK, " ").encode() if kind in (1, 4) else b"" for p, _, kind in pieces]
+
+    # The tables below are made where they are used: in workers, not on the driver.
+
+    @cached_property
+    def decoding(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes of all pieces, where each begins and how many it has."""
+        sizes = np.array([len(p) for p in self.parts], np.int64)
+        return np.frombuffer(b"".join(self.parts), np.uint8), np.cumsum(sizes) - sizes, sizes
+
+    @cached_property
+    def number(self) -> np.ndarray:
+        """A number for each code point that some piece has, 0 for the others."""
         chars = sorted({c for p, _, _ in self.rows for c in p})
-        #: A number for each code point that some piece has, 0 for the others.
-        self.number = np.zeros(0x110000, np.int32)
-        self.number[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
-        self.beside = np.zeros((len(chars) + 1, len(chars) + 1), dtype=bool)
+        out = np.zeros(0x110000, np.int32)
+        out[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        return out
+
+    @cached_property
+    def beside(self) -> np.ndarray:
+        """Whether some piece has two numbers side by side."""
+        n = int(self.number.max()) + 1
+        out = np.zeros((n, n), dtype=bool)
         for p, _, _ in self.rows:
-            n = self.number[[ord(c) for c in p]]
-            self.beside[n[:-1], n[1:]] = True
+            k = self.number[[ord(c) for c in p]]
+            out[k[:-1], k[1:]] = True
+        return out
 
     def fallback(self, char: str) -> list[int]:
         """Ids of a character without a piece."""
@@ -166,9 +184,10 @@ class Pieces:
 
     def decoded(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(bytes, how many of each) of the texts whose ids follow each other, with their leading blanks."""
-        size = self.part_sizes[ids]
+        data, starts, sizes = self.decoding
+        size = sizes[ids]
         to = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(counts)])]
-        return gathered(self.part_bytes, self.part_starts[ids], size), np.diff(to)
+        return gathered(data, starts[ids], size), np.diff(to)
 
 
 _known: dict[int, Pieces] = {}
@@ -183,22 +202,17 @@ def pieces_of(model: bytes) -> Pieces:
 
 
 class Table:
-    """Ids of units (columns unit, ids), found by the 128 bits of their bytes' hash."""
-
-    def __init__(self, coded: pa.Table):
-        hashes, sizes, flat = [np.zeros((0, 2), np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint16)]
-        for batch in coded.to_batches(max_chunksize=1 << 15):
-            hashes.append(byte_hashes(batch.column(0).cast(pa.binary()).to_pylist()))
-            ids = batch.column(1)
-            sizes.append(np.diff(ids.offsets.to_numpy()))
-            flat.append(ids.flatten().to_numpy())
-        pairs, size = np.concatenate(hashes), np.concatenate(sizes)
-        flat = [x.astype(np.uint16) for x in flat] if max((x.max() for x in flat if len(x)), default=0) < 1 << 16 else flat
-        order = np.argsort(pairs[:, 0], kind="stable")
-        self.first, self.second = pairs[order, 0], pairs[order, 1]
-        self.sizes = size[order].astype(np.uint8 if size.max(initial=0) < 256 else np.int32)
-        self.starts = (np.cumsum(size) - size)[order].astype(np.uint32)
-        self.flat = np.concatenate(flat)
+    """Ids of units, found by the 128 bits of their bytes' hash. parts: rows of table_parts, in order of the first 64."""
+
+    def __init__(self, parts: Iterable, kind: type):
+        kinds = (np.uint64, np.uint64, np.int32, kind)
+        held: list[list[np.ndarray]] = [[np.zeros(0, k)] for k in kinds]
+        for part in parts:
+            for column, k, data in zip(held, kinds, part, strict=True):
+                column.append(np.frombuffer(data, k))
+        self.flat, size, self.second, self.first = (np.concatenate(held.pop()) for _ in kinds)
+        self.sizes = size.astype(np.uint8) if size.max(initial=0) < 256 else size
+        self.starts = (np.cumsum(size, dtype=np.int64) - size).astype(np.uint32)
 
     def find(self, units: list[bytes]) -> np.ndarray:
         """Places of units in the table, -1 for those that it does not have."""
@@ -318,17 +332,54 @@ def lattice(units: DataFrame, model: bytes) -> DataFrame:
     return short.select("unit", "n", ids.alias("ids")).union(units.where(F.length("unit") > FOLD_CHARS).mapInArrow(_long_paths(model), "unit string, n long, ids array<int>"))
 
 
-def unit_table(coded: DataFrame, limit: int = TABLE_BYTES) -> tuple[Table, int]:
-    """The table of the most frequent units that fit limit bytes, and the count that a unit in it has at least."""
+def _hashed(kind: type):
+    """Rows (unit, ids) to the two hashes, the first such that signed longs sort alike, and the ids' bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs, lists = byte_hashes(batch.column(0).cast(pa.binary()).to_pylist()), batch.column(1)
+            flat = np.ascontiguousarray(lists.flatten().to_numpy(zero_copy_only=False).astype(kind))
+            ends = np.r_[0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))] * flat.itemsize
+            ids = pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(flat)])
+            yield pa.RecordBatch.from_arrays([pa.array(signed(pairs[:, 0] ^ TOP_BIT)), pa.array(signed(pairs[:, 1].copy())), ids], ["first", "second", "ids"])
+
+    return run
+
+
+def _packed(kind: type):
+    """Each batch's columns as bytes: both hashes, how many ids each unit has, and the ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                first, second = (batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in (0, 1))
+                ids = batch.column(2).to_pylist()
+                sizes = np.array([len(x) for x in ids], np.int32) // np.dtype(kind).itemsize
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in ((first ^ TOP_BIT).tobytes(), second.tobytes(), sizes.tobytes(), b"".join(ids))], ["first", "second", "sizes", "ids"])
+
+    return run
+
+
+def table_parts(coded: DataFrame, kind: type, size: int) -> DataFrame:
+    """The rows of Table, hashed, sorted and packed on the executors, in tasks of some PART_BYTES of size in all."""
+    rows = coded.select("unit", "ids").mapInArrow(_hashed(kind), "first long, second long, ids binary")
+    rows = rows.repartitionByRange(size // PART_BYTES + 1, "first").sortWithinPartitions("first")
+    return rows.mapInArrow(_packed(kind), "first binary, second binary, sizes binary, ids binary")
+
+
+def unit_table(coded: DataFrame, model: bytes, limit: int = TABLE_BYTES) -> tuple[Table, int]:
+    """The table of the most frequent units that fit limit bytes, and the count that a unit in it has at least. The
+    driver takes one task's part after the other, so that neither its JVM nor Python holds the units themselves."""
     size = F.sum(24 + 2 * F.size("ids"))  # two hashes, a place and a size, and ids of two bytes each
     levels = coded.groupBy(F.floor(F.log2("n")).cast("int").alias("level")).agg(size.alias("size")).orderBy(F.desc("level")).collect()
     total, least = 0, 0
     for r in levels:  # at most 63 rows
-        total += r["size"]
-        if total > limit:
+        if total + r["size"] > limit:
             least = 2 ** (r["level"] + 1)
             break
-    return Table(coded.where(F.col("n") >= least).select("unit", "ids").toArrow()), least
+        total += r["size"]
+    kind = np.uint16 if len(pieces_of(model).score) <= 1 << 16 else np.int32
+    return Table(table_parts(coded.where(F.col("n") >= least), kind, total).toLocalIterator(), kind), least
 
 
 def _assemble(model: bytes, table, digest: bool):
@@ -371,8 +422,9 @@ def _encoded(docs: DataFrame, model: bytes, text_col: str, keep: list[str], dige
     units = written(units, "units").repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "unit")
     with groups_in_memory(spark, GROUPS):
         coded = written(lattice(units, model), "piece-units")
-    made, least = unit_table(coded, limit)
+    made, least = unit_table(coded, model, limit)
     table = spark.sparkContext.broadcast(made)
+    del made
     if least:
         rows = written(rows.withColumn("no", F.monotonically_increasing_id()), "piece-rows")
         lacking = rows.select("no", "text").mapInArrow(_unit_rows(model, table), "no long, unit string")

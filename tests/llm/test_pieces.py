@@ -65,3 +65,19 @@ def test_unigram_fold(spark, monkeypatch):
     words = ["abc", "abcab", "ccab", "bxa", "a", "x", "abcabcabc"]
     got = {r.unit: r.ids for r in piece_lattice.lattice(spark.createDataFrame([(w, 1) for w in words], "unit string, n long"), b"").collect()}
     assert got == {w: best(w) for w in words} == {w: own.path(w) for w in words}
+
+
+def test_table_comes_to_the_driver_in_parts(spark, monkeypatch):
+    """Hashed, sorted and packed on executors, and never collected whole."""
+    model = piece_lattice.model_file()
+    want = {f"unit {k}": [k % 32000] * (k % 300 if k % 500 == 0 else k % 4) for k in range(3000)}
+    coded = spark.createDataFrame([(u, 1 + len(x), x) for u, x in want.items()], "unit string, n long, ids array<int>")
+    monkeypatch.setattr(piece_lattice, "PART_BYTES", 10_000)
+    monkeypatch.setattr(type(coded), "toArrow", lambda self: pytest.fail("collected whole"))
+    sent = []
+    monkeypatch.setattr(piece_lattice, "Table", lambda parts, kind, make=piece_lattice.Table: make((sent.append(sum(map(len, p))) or p for p in parts), kind))
+    table, least = piece_lattice.unit_table(coded, model)
+    assert least == 0 and len(sent) >= 5 and max(sent) < 30_000 and (table.first[1:] >= table.first[:-1]).all() and table.flat.dtype == np.uint16
+    at = table.find([u.encode() for u in want])
+    assert [table.flat[a : a + n].tolist() for a, n in zip(table.starts[at].tolist(), table.sizes[at].tolist(), strict=True)] == list(want.values())
+    assert (table.find([b"unit", b"unit 3000"]) == -1).all()
